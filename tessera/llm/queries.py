@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import encode, packing, splitting
+from tessera.llm import encode, lookalike, packing, spans, splitting
 from tessera.session import table
 
 
@@ -27,6 +27,20 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(paper_texts(spark, d, markdown=True), ["paper_id", "field"], "text")
 
 
+def _titles_and_texts(spark: SparkSession, d: str) -> DataFrame:
+    titles = table(spark, d, "parsed_papers").select("paper_id", F.lit("title").alias("field"), F.col("title").alias("text"))
+    return titles.unionByName(paper_texts(spark, d))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = lookalike.same_look(_titles_and_texts(spark, d), "paper_id", "field", "text")
+    return pairs.select(F.col("id_a").alias("paper_id_a"), F.col("id_b").alias("paper_id_b"), "field")
+
+
+def p6_unified(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.unify(_titles_and_texts(spark, d))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(spark, d, "documents"))
 
@@ -39,7 +53,26 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(packing.pack(table(spark, d, "documents")))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared(table(spark, d, "documents")).pairs().select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared(table(spark, d, "documents")).spans().select(F.col("key").alias("doc_id"), "start", "end")
+
+
+def p9_share(spark: SparkSession, d: str) -> DataFrame:
+    return spans.share(table(spark, d, "documents"))
+
+
+def p9_repeated(spark: SparkSession, d: str) -> DataFrame:
+    return spans.repeated_units(table(spark, d, "documents"))
+
+
+QUERIES = {
+    "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_unified": p6_unified, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill,
+    "p9_found": p9_found, "p9_spans": p9_spans, "p9_share": p9_share, "p9_repeated": p9_repeated,
+}
 
 _TEXTS = """select paper_id, unnest(map_keys(sections)) as field, unnest(map_values(sections)) as text from parsed_papers
  union all select paper_id, 'markdown', markdown from parsed_papers"""
