@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import encode, lookalike, packing, spans, splitting
+from tessera.llm import canonical, encode, lookalike, packing, scans, spans, splitting
 from tessera.session import table
 
 
@@ -18,6 +18,15 @@ def paper_texts(spark: SparkSession, d: str, markdown: bool = False) -> DataFram
     return papers.select("paper_id", F.explode(fields).alias("f")).select("paper_id", F.col("f.key").alias("field"), F.col("f.value").alias("text"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    found = scans.noise(table(spark, d, "parsed_papers"))
+    return found.select(F.col("id").alias("paper_id"), "section", "noise").distinct()
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repair(table(spark, d, "parsed_papers"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = splitting.split(paper_texts(spark, d, markdown=True), ["paper_id", "field"], "text", with_text=False)
     return pieces.where("piece_no = 0").select("paper_id", "field")
@@ -27,6 +36,26 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split(paper_texts(spark, d, markdown=True), ["paper_id", "field"], "text")
 
 
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    """(src_field, row_id, pos, value) of the freely typed values."""
+    states, terms = table(spark, d, "cell_states"), table(spark, d, "cl_subset")
+    many = lambda df, src, col: df.select(F.lit(src).alias("src_field"), "row_id", F.posexplode(col).alias("pos", "value")).withColumn("pos", F.col("pos").cast("bigint"))
+    names = terms.select(F.lit("cl_subset.name").alias("src_field"), "row_id", F.lit(0).cast("bigint").alias("pos"), F.col("name").alias("value"))
+    return many(states, "cell_states.aliases", "aliases").unionByName(many(terms, "cl_subset.synonyms", "synonyms")).unionByName(names)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    reference = table(spark, d, "cell_type_list")
+    mapped = canonical.match(_typed(spark, d), reference)
+    exact = reference.select(F.col("canon_name").alias("value")).unionByName(reference.select(F.col("short_name").alias("value")))
+    return mapped.join(exact, "value", "left_anti").select("src_field", "row_id", "pos", "canon_id")
+
+
+def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    mapped = canonical.match(_typed(spark, d), table(spark, d, "cell_type_list"))
+    return mapped.where("canon_id = 0").groupBy("src_field", "value").agg(F.count("*").alias("n_rows"))
+
+
 def _titles_and_texts(spark: SparkSession, d: str) -> DataFrame:
     titles = table(spark, d, "parsed_papers").select("paper_id", F.lit("title").alias("field"), F.col("title").alias("text"))
     return titles.unionByName(paper_texts(spark, d))
@@ -70,7 +99,7 @@ def p9_repeated(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_unified": p6_unified, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill,
+    "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_unified": p6_unified, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill,
     "p9_found": p9_found, "p9_spans": p9_spans, "p9_share": p9_share, "p9_repeated": p9_repeated,
 }
 
