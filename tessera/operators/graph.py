@@ -23,7 +23,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int, drop_self: bool = True, blo
     if blocks is None:
         blocks = max(1, -(-base.count() // 50_000))
     nq = max(1, -(-queries.count() // block))
-    side = lambda df, n, m, own, other: df.select("id", F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("id"), F.lit(n)).alias(own)).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))).cast("bigint"))
+    side = lambda df, n, m, own, other: df.select("id", F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("id"), F.lit(n)).alias(own)).withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint"))))
     a, b = side(queries, nq, blocks, "qb", "bb").groupBy("qb", "bb"), side(base, blocks, nq, "bb", "qb").groupBy("qb", "bb")
 
     def near(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
@@ -67,8 +67,6 @@ def ivf_fit(base: DataFrame, cells: int = 32, sample: int = 20_000, rounds: int
 
 def ivf_search(queries: DataFrame, base: DataFrame, centroids: np.ndarray, k: int, probes: int = 8) -> DataFrame:
     """Approximate neighbours: every base row sits in its nearest cell, each query visits ``probes``."""
-    near = lambda m: F.udf(lambda v: np.argsort(((centroids - np.array(v)) ** 2).sum(1), kind="stable")[:m].tolist(), "array<int>")
-
     def assign(df: DataFrame, m: int) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for p in batches:
@@ -123,7 +121,7 @@ def silhouette(embed: DataFrame, sample: int | None = None) -> DataFrame:
         rows = rows.orderBy(F.xxhash64("id"), "id").limit(sample)
     blocks = max(1, -(-rows.count() // 20_000))
     own = rows.withColumn("a", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    left, right = own.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint")).groupBy("a", "b"), own.withColumnRenamed("a", "b").withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint")).groupBy("a", "b")
+    left, right = own.withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).groupBy("a", "b"), own.withColumnRenamed("a", "b").withColumn("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).groupBy("a", "b")
 
     def sums(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
