@@ -71,6 +71,7 @@ class Paper:
 
     def __init__(self, title: str | None, source: str | None, sections: list[tuple[str, str | None]]) -> None:
         one = transducer(MARKS)
+        self._flow: dict[int, list[str]] = {}
         self.lines: list[tuple[str, list[str]]] = []
         for name, text in sections:
             self.lines.append((name, [one(_hidden.sub("", line)) if not line.isascii() else line.replace("\x0c", "") for line in (text or "").split("\n")]))
@@ -89,12 +90,14 @@ class Paper:
                     core = _fold(bare)
                     if 1 < len(core.split()) <= 9 or _wide(core):
                         short.append((s, i, core))
-        # Fuzzy repetition: lines are compared within blocks of equal first or last word.
+        # Fuzzy repetition: lines are compared within blocks of equal first or last word. Running text
+        # has its templates too, so only what looks like a heading is compared.
         blocks: dict[str, list[int]] = {}
-        for n, (_, _, core) in enumerate(short):
-            w = core.split()
-            for k in {"<" + w[0], ">" + w[-1]}:
-                blocks.setdefault(k, []).append(n)
+        for n, (s, i, core) in enumerate(short):
+            line, w = self.lines[s][1][i].strip(), core.split()
+            if len(w) <= 7 and (line[0].isupper() or line[0].isdigit()) and not _running(core) and (line[-1] != "." or line.lower().endswith("al.")):
+                for k in {"<" + w[0], ">" + w[-1]}:
+                    blocks.setdefault(k, []).append(n)
         again: set[int] = set()
         for block in blocks.values():
             firsts: list[tuple[str, int]] = []
@@ -106,14 +109,12 @@ class Paper:
                         break
                 else:
                     firsts.append((core, n))
+        first_words = set(head.split()[:10])
         for n, (s, i, core) in enumerate(short):
-            line = self.lines[s][1][i].strip()
             words = core.split()
-            titled = (len(words) >= 3 or _wide(core)) and len(core) <= len(head) + 3 and _alike(core, head[: len(core)], 0.85)
-            named = len(stem) > 5 and len(words) <= 6 and any(_alike(w.strip(":,"), stem, 0.8) for w in words if abs(len(w) - len(stem)) < 3)
-            # Running text has its templates too: what repeats counts if it looks like a heading.
-            repeated = n in again and len(words) <= 7 and (line[0].isupper() or line[0].isdigit()) and not _running(core) and (not line.endswith(".") or line.lower().endswith("al."))
-            if titled or named or repeated:
+            titled = len(core) <= len(head) + 3 and (_wide(core) or len(words) >= 3 and 2 * len(first_words.intersection(words)) >= len(words)) and _alike(core, head[: len(core)], 0.85)
+            named = len(stem) > 5 and len(words) <= 6 and any(abs(len(w) - len(stem)) < 3 and (w[:3] == stem[:3] or w[-3:] == stem[-3:]) and _alike(w.strip(":,"), stem, 0.8) for w in words)
+            if titled or named or n in again:
                 self.kinds[s][i] = "header"
 
     @staticmethod
@@ -133,6 +134,11 @@ class Paper:
         return False
 
     def flow(self, s: int) -> list[str]:
+        if s not in self._flow:
+            self._flow[s] = self._flowing(s)
+        return self._flow[s]
+
+    def _flowing(self, s: int) -> list[str]:
         """A section's lines without its noise lines; a blank line that only parted noise goes too."""
         lines, kinds, out = self.lines[s][1], self.kinds[s], []
         for i, (line, kind) in enumerate(zip(lines, kinds)):
@@ -149,14 +155,15 @@ class Paper:
         """(line, left, mark, right) of words that may be broken at the end of a line of the flow."""
         lines, out = self.flow(s), []
         for i, line in enumerate(lines[:-1]):
-            m = _broken.search(line)
+            end = line.rstrip()
+            m = _broken.search(end[-40:]) if end and end[-1] in MARKS else None
             if m:
                 r = _onward.match(lines[i + 1].lstrip())
                 if r and r[1][0].islower():
                     out.append((i, m[1].lower(), m[2], r[1].lower()))
         return out
 
-    def words(self, s: int) -> Counter[str]:
+    def words(self, s: int) -> dict[str, int]:
         """Words that stand whole within a line, lower case: hyphenated ones whole and in parts."""
         lines = self.flow(s)
         count: Counter[str] = Counter()
@@ -168,21 +175,33 @@ class Paper:
             if i - 1 in ends and found:
                 found.pop(0)
             count.update(found)
-        out: Counter[str] = Counter()
+        out: dict[str, int] = {}
         for w, n in count.items():
-            w = w.strip("'’-").lower() if not _caps(w) else ""
-            if len(w) < 3:
-                continue
-            if "-" in w:
-                out[w] += n
-                for part in w.split("-"):
-                    if len(part) > 2 and _shape.fullmatch(part):
-                        out[part] += n
-            elif _shape.fullmatch(w):
-                out[w] += n
+            for form in _forms[w]:
+                out[form] = out.get(form, 0) + n
         return out
 
 
+class _Forms(dict):
+    """What a written word counts as: itself in lower case, and the parts of a compound."""
+
+    def __missing__(self, w: str) -> tuple[str, ...]:
+        if len(self) > 200_000:
+            self.clear()
+        low = "" if _caps(w) else w.strip("'’-").lower()
+        if len(low) < 3:
+            forms: tuple[str, ...] = ()
+        elif "-" in low:
+            forms = (low, *(p for p in low.split("-") if len(p) > 2 and _shape.fullmatch(p)))
+        else:
+            forms = (low,) if _shape.fullmatch(low) else ()
+        self[w] = forms
+        return forms
+
+
+_forms = _Forms()
+
+
 def _caps(w: str) -> bool:
     """Names of genes and the like: two capitals or more at the start."""
     return w[:2].isupper() or w.isdigit()
@@ -219,7 +238,8 @@ def _counts(papers: DataFrame) -> DataFrame:
         for b in batches:
             for _, p in _each(b):
                 for s in range(len(p.lines)):
-                    count.update(p.words(s))
+                    for w, n in p.words(s).items():
+                        count[w] += n
             if len(count) > 200_000:
                 yield give()
                 count.clear()
