@@ -46,9 +46,8 @@ def _typed(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     reference = table(spark, d, "cell_type_list")
-    mapped = canonical.match(_typed(spark, d), reference)
     exact = reference.select(F.col("canon_name").alias("value")).unionByName(reference.select(F.col("short_name").alias("value")))
-    return mapped.join(exact, "value", "left_anti").select("src_field", "row_id", "pos", "canon_id")
+    return canonical.match(_typed(spark, d).join(exact, "value", "left_anti"), reference).select("src_field", "row_id", "pos", "canon_id")
 
 
 def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +98,8 @@ def p9_repeated(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_pieces": p3_pieces, "p6_found": p6_found, "p6_unified": p6_unified, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill,
+    "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_unmatched": p5_unmatched,
+    "p6_found": p6_found, "p6_unified": p6_unified, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill,
     "p9_found": p9_found, "p9_spans": p9_spans, "p9_share": p9_share, "p9_repeated": p9_repeated,
 }
 
