@@ -197,7 +197,7 @@ class Reference:
 
 # Nouns that say what kind of thing an entry is; they don't tell entries of one stem apart.
 _kinds = {"cell", "progenitor", "fibroblast", "neuron", "epithelial"}
-_marks = {ord("­"): None, 0x2019: "'"}
+_marks = {ord("\u00ad"): None, 0x2019: "'"}
 _word = re.compile(r"tissue[\s-]*resident|[^\W_]+(?:⁺)?").findall
 
 

@@ -29,18 +29,18 @@ CYRILLIC = "АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ЅS ІI ЈJ ԌG ԚQ
 GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo ϳj"
 ARMENIAN = "օo սu"
 # Characters that are drawn like another one or like several.
-TWINS = {"µ": "μ", "Ω": "Ω", "K": "K", "Å": "Å", "ſ": "ſ", "‐": "-", "‑": "-", "−": "−", "ˈ": "ˈ"}
-INVISIBLE = "​‌‍⁠﻿­᠎⁡⁢⁣⁤؜‎‏‪‫‬‭‮⁦⁧⁨⁩"
-BLANKS = "             　"
+TWINS = {"\u00b5": "\u03bc", "\u2126": "\u03a9", "\u212a": "K", "\u212b": "\u00c5", "\u2010": "-", "\u2011": "-"}
+INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad\u180e\u2061\u2062\u2063\u2064\u061c\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069"
+BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def rules(keep: str = "") -> list[tuple[str, str]]:
     """The mapping as (sequence, output) pairs; characters in ``keep`` get no rule."""
     out: list[tuple[str, str]] = [(pair[0], pair[1]) for group in (CYRILLIC, GREEK, ARMENIAN) for pair in group.split()]
-    out += [(a, b) for a, b in TWINS.items() if a != b]
+    out += list(TWINS.items())
     out += [(c, "") for c in INVISIBLE] + [(c, "") for c in map(chr, range(0xFE00, 0xFE10))]
     out += [(c, " ") for c in BLANKS]
-    for code in [*range(0xFF01, 0xFFEF), *range(0xFB00, 0xFB07), *range(0x2460, 0x2460), *range(0x2160, 0x2180)]:
+    for code in [*range(0xFF01, 0xFFEF), *range(0xFB00, 0xFB07), *range(0x2160, 0x2180)]:
         c = chr(code)
         if (wide := unicodedata.normalize("NFKC", c)) != c:
             out.append((c, wide))

@@ -35,11 +35,11 @@ CONFUSIONS = [tuple(p.split()) for p in (
     "c e|e c|f t|t f|@ a|ri n|n ri|! i|! l|l i|i l|1 l|1 i|cl d|d cl|5 s|0 o|ii u|u ii|rn m|m rn|q g|g q|b h|h b|6 b|8 b|9 g|l t|t l|vv w|w vv|3 e|$ s|| l|o c|c o|nn m|fi h|li h|in m"
 ).replace("|| l", "|‖ l").split("|")]
 CONFUSIONS = [("|" if a == "‖" else a, b) for a, b in CONFUSIONS]
-MARKS = "-‐‑­¬"
+MARKS = "-\u2010\u2011\u00ad\u00ac"
 COMMON = 50_000
 LETTER = r"[^\W\d_]"
 
-_hidden = re.compile("[​-‍⁠﻿\x0c]")
+_hidden = re.compile("[\u200b-\u200d\u2060\ufeff\x0c]")
 _broken = re.compile(rf"({LETTER}+)([{MARKS}])\s*$")
 _onward = re.compile(rf"({LETTER}+)")
 _page = re.compile(r"\W*(?:p(?:(?:a?g)?e?|p)\.?\s*)?(s?\d{1,5}|[ivxlc]{1,7})(?:\s*(?:/|of)\s*\d{1,5})?\W*", re.I)

@@ -113,7 +113,8 @@ def _fingerprints(docs: DataFrame, span: int) -> DataFrame:
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """(h, key, at, before, after) of each wanted unit; ``before`` is reversed."""
+    """(h, key, ats, before, after) of each wanted unit with its surroundings; ``ats`` has all places
+    where it stands so (in periodic text there are many), ``before`` is reversed."""
     k = span // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,17 +123,16 @@ def _contexts(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
             for i, (t, want) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
                 h, at = _units(t, span)
                 keep = np.isin(h.view(np.int64), np.array(want, np.int64))
-                seen = set()
+                seen: dict[tuple, list[int]] = {}
                 for x, p in zip(h[keep].view(np.int64).tolist(), at[keep].tolist()):
-                    row = (x, t[max(0, p - k) : p][::-1], t[p + k : p + 2 * k])
-                    if row not in seen:  # in periodic text the same surroundings come again and again
-                        seen.add(row)
-                        who.append(i), hs.append(x), ats.append(p), before.append(row[1]), after.append(row[2])
+                    seen.setdefault((x, t[max(0, p - k) : p][::-1], t[p + k : p + 2 * k]), []).append(p)
+                for (x, b4, aft), places in seen.items():
+                    who.append(i), hs.append(x), ats.append(places), before.append(b4), after.append(aft)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hs, pa.int64()), b.column(0).take(pa.array(who, pa.int64())), pa.array(ats, pa.int64()), pa.array(before, pa.string()), pa.array(after, pa.string())], names=["h", "key", "at", "before", "after"]
+                [pa.array(hs, pa.int64()), b.column(0).take(pa.array(who, pa.int64())), pa.array(ats, pa.list_(pa.int64())), pa.array(before, pa.string()), pa.array(after, pa.string())], names=["h", "key", "ats", "before", "after"]
             )
 
-    return docs.join(wanted, "key").select("key", "text", "units").mapInArrow(run, f"h bigint, key {dict(docs.dtypes)['key']}, at bigint, before string, after string")
+    return docs.join(wanted, "key").select("key", "text", "units").mapInArrow(run, f"h bigint, key {dict(docs.dtypes)['key']}, ats array<bigint>, before string, after string")
 
 
 def _common(a: str, b: str) -> Column:
@@ -161,19 +161,19 @@ class Shared:
 
     def _cold(self, cold: DataFrame) -> DataFrame:
         k = self.span // 2
-        a, b = (cold.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "at", "before", "after"))) for s in "ab")
+        a, b = (cold.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "ats", "before", "after"))) for s in "ab")
         pairs = a.join(b, "h").where("key_a < key_b")
-        met = pairs.select("key_a", "key_b", "at_a", "at_b", _common("before_a", "before_b").alias("l"), _common("after_a", "after_b").alias("r"))
+        met = pairs.select("key_a", "key_b", "ats_a", "ats_b", _common("before_a", "before_b").alias("l"), _common("after_a", "after_b").alias("r"))
         return met.where(F.col("l") + F.col("r") + k >= self.span)
 
     def _hot(self, hot: DataFrame) -> DataFrame:
-        """(h, x, digest, key, at): every stretch of ``span`` characters around a hot unit."""
+        """(h, x, digest, key, ats): every stretch of ``span`` characters around a hot unit."""
         k = self.span // 2
         rest = self.span - k
         least, most = F.greatest(F.lit(0), F.lit(rest) - F.length("after")), F.least(F.lit(rest), F.length("before"))
         rows = hot.where(least <= most).select("*", F.explode(F.sequence(least, most)).alias("x"))
         digest = F.unhex(F.md5(F.concat(F.expr("substring(before, 1, x)"), F.lit("\x00"), F.expr(f"substring(after, 1, {rest} - x)"))))
-        rows = rows.select("h", "x", digest.alias("digest"), "key", (F.col("at") - F.col("x")).alias("at"))
+        rows = rows.select("h", "x", digest.alias("digest"), "key", "ats")
         by = ["h", "x", "digest"]
         return rows.join(rows.groupBy(by).agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select(by), by, "left_semi")
 
@@ -194,9 +194,9 @@ class Shared:
         k = self.span // 2
         cold, hot = self._split()
         met = self._cold(cold)
-        found = met.select(F.col("key_a").alias("rep"), (F.col("at_a") - F.col("l")).alias("start"), (F.col("at_a") + k + F.col("r")).alias("end"))
-        found = found.unionByName(met.select(F.col("key_b").alias("rep"), (F.col("at_b") - F.col("l")).alias("start"), (F.col("at_b") + k + F.col("r")).alias("end")))
-        found = found.unionByName(self._hot(hot).select(F.col("key").alias("rep"), F.col("at").alias("start"), (F.col("at") + self.span).alias("end"))).distinct()
+        part = lambda c: met.select(F.col(f"key_{c}").alias("rep"), F.explode(f"ats_{c}").alias("at"), F.col("l").alias("before"), (k + F.col("r")).alias("after"))
+        around = self._hot(hot).select(F.col("key").alias("rep"), F.explode("ats").alias("at"), F.col("x").alias("before"), (self.span - F.col("x")).alias("after"))
+        found = part("a").unionByName(part("b")).unionByName(around).select("rep", (F.col("at") - F.col("before")).alias("start"), (F.col("at") + F.col("after")).alias("end")).distinct()
         single = found.join(self.members.where("copies = 1").select("key", "rep"), "rep").select("key", "start", "end")
         w = Window.partitionBy("key").orderBy("start", "end")
         cut = F.coalesce((F.col("start") > F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(0))

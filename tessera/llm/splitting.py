@@ -64,7 +64,7 @@ def cuts(text: str, limit: int = 2000, overlap: int = 150) -> list[tuple[int, in
     reach = limit - overlap
     pieces = -(-(n - overlap) // reach)
     goal = (n - overlap) / pieces
-    pos, kinds = boundaries(text, reach)
+    pos, kinds = zip(*((p, k) for p, k in zip(*boundaries(text, reach)) if p > overlap))
     p = np.array([overlap, *pos], np.float64)  # a first, virtual cut: the first piece begins at 0
     pay = np.array([0.0, *(_COST[k] for k in kinds)])
     best, back = np.full(len(p), np.inf), np.zeros(len(p), np.int64)
@@ -72,12 +72,9 @@ def cuts(text: str, limit: int = 2000, overlap: int = 150) -> list[tuple[int, in
     lows = np.searchsorted(p, p - reach, "left")
     for j in range(1, len(p)):
         lo = lows[j]
-        if p[j] <= overlap or lo >= j:
+        if lo >= j:
             continue
-        gap = (p[j] - p[lo:j]) / goal
-        cost = best[lo:j] + np.square(gap - 1.0)
-        if p[lo] == p[j]:
-            cost[gap <= 0] = np.inf
+        cost = best[lo:j] + np.square((p[j] - p[lo:j]) / goal - 1.0)
         k = int(cost.argmin())
         best[j], back[j] = cost[k] + pay[j] + 0.05, lo + k
     out, j = [], len(p) - 1
