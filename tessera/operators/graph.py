@@ -23,20 +23,20 @@ def knn(queries: DataFrame, base: DataFrame, k: int, drop_self: bool = True, blo
     if blocks is None:
         blocks = max(1, -(-base.count() // 50_000))
     nq = max(1, -(-queries.count() // block))
-    side = lambda df, n, m, own, other: df.select("id", F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("id"), F.lit(n)).alias(own)).withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint"))))
+    side = lambda df, n, m, own, other: df.select(F.col("id").alias(f"{own}_id"), F.col("vec").cast("array<double>").alias(f"{own}_vec"), F.pmod(F.xxhash64("id"), F.lit(n)).alias(own)).withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint"))))
     a, b = side(queries, nq, blocks, "qb", "bb").groupBy("qb", "bb"), side(base, blocks, nq, "bb", "qb").groupBy("qb", "bb")
 
     def near(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(r):
             return pd.DataFrame({"query": [], "neighbor": [], "distance": []})
-        r = r.sort_values("id")
-        x, y, ids = np.stack(q["vec"]), np.stack(r["vec"]), r["id"].to_numpy()
+        r = r.sort_values("bb_id")
+        x, y, ids, asked = np.stack(q["qb_vec"]), np.stack(r["bb_vec"]), r["bb_id"].to_numpy(), q["qb_id"].to_numpy()
         out = []
         for at in range(0, len(x), 256):
             part = x[at : at + 256]
             d = ((part[:, None, :] - y[None]) ** 2).sum(-1) if len(y) < 4096 else (part**2).sum(1)[:, None] - 2 * part @ y.T + (y**2).sum(1)[None]
             for i, row in enumerate(d):
-                me = q["id"].iat[at + i]
+                me = asked[at + i]
                 if drop_self:
                     row[ids == me] = np.inf
                 m = min(k, len(row))

@@ -17,15 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a single machine) a folder of our own is made and
-    set; on a cluster the setting must name a store every executor can reach.
+    Only where that setting is absent, on a single machine (tests, local runs), a folder of our own
+    is taken; on a cluster the setting must name a store every executor can reach.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "tessera-shared")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = "file://" + os.path.join(tempfile.gettempdir(), f"tessera-{spark.sparkContext.applicationId}")
     return folder.rstrip("/")
 
 

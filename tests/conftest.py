@@ -9,12 +9,11 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from tessera.session import local_session
 
     s = local_session(4, 4)
     s.sparkContext.setLogLevel("ERROR")
-    s.conf.set("spark.checkpoint.dir", "file://" + str(tmp_path_factory.mktemp("shared")))
     yield s
     s.stop()
 
