@@ -81,8 +81,8 @@ def read_mtx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Data
     parts = F.split(F.trim("value"), r"\s+")
     body = spark.read.text(one("matrix.mtx")).where("value not like '\\%%' and trim(value) <> ''")
     rows = body.select(F.get(parts, 0).cast("long").alias("g"), F.get(parts, 1).cast("long").alias("c"), F.get(parts, 2).cast("double").alias("value"), F.size(parts).alias("n"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("o"))
-    size = rows.orderBy("o").limit(1).select(F.col("o").alias("first"))
-    rows = rows.join(F.broadcast(size), rows.o == size.first, "left_anti")  # the size line
+    size = rows.orderBy("o").limit(1).select(F.col("o").alias("size_line"))
+    rows = rows.join(F.broadcast(size), rows.o == size.size_line, "left_anti")  # the size line
     matrix = rows.join(genes.withColumnRenamed("no", "g"), "g").join(cells.withColumnRenamed("no", "c"), "c").where("value <> 0").select("cell_id", "gene_id", "value")
     return matrix, cells.select("cell_id"), genes.select("gene_id")
 
