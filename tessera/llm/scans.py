@@ -30,11 +30,14 @@ from pyspark.sql import functions as F
 from tessera.llm.lookalike import transducer
 from tessera.session import materialize
 
-# What scanners read for what is printed, as "read printed" pairs.
-CONFUSIONS = [tuple(p.split()) for p in (
-    "c e|e c|f t|t f|@ a|ri n|n ri|! i|! l|l i|i l|1 l|1 i|cl d|d cl|5 s|0 o|ii u|u ii|rn m|m rn|q g|g q|b h|h b|6 b|8 b|9 g|l t|t l|vv w|w vv|3 e|$ s|| l|o c|c o|nn m|fi h|li h|in m"
-).replace("|| l", "|‖ l").split("|")]
-CONFUSIONS = [("|" if a == "‖" else a, b) for a, b in CONFUSIONS]
+# What scanners read for what is printed, as read:printed.
+CONFUSIONS = [
+    tuple(pair.split(":"))
+    for pair in (
+        "c:e e:c f:t t:f @:a ri:n n:ri !:i !:l l:i i:l 1:l 1:i cl:d d:cl 5:s 0:o ii:u u:ii rn:m m:rn q:g g:q b:h h:b "
+        "6:b 8:b 9:g l:t t:l vv:w w:vv 3:e $:s |:l |:i o:c c:o nn:m fi:h li:h in:m"
+    ).split()
+]
 MARKS = "-\u2010\u2011\u00ad\u00ac"
 COMMON = 50_000
 LETTER = r"[^\W\d_]"
@@ -159,7 +162,8 @@ class Paper:
             m = _broken.search(end[-40:]) if end and end[-1] in MARKS else None
             if m:
                 r = _onward.match(lines[i + 1].lstrip())
-                if r and r[1][0].islower():
+                # After capitals ("TGF-", "RRHMB-") a hyphen is the name's own.
+                if r and r[1][0].islower() and not (m[2] == "-" and len(m[1]) > 1 and m[1].isupper()):
                     out.append((i, m[1].lower(), m[2], r[1].lower()))
         return out
 
