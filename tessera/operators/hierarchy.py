@@ -42,16 +42,16 @@ def hierarchy(nodes: DataFrame, paths: bool = True, max_rounds: int = 200) -> Da
     there = ids.select(F.col("id").alias("pid"))
     live = ids.join(there, ids.parent == there.pid, "left").select(
         "id", "parent", F.col("pid").alias("up"), F.lit(0).cast("long").alias("via_n"), F.lit(None).cast("bigint").alias("via_min"),
-        F.lit(0).cast("long").alias("inner"), F.lit(0).cast("long").alias("acc"), F.array().cast("array<bigint>").alias("via"),
+        F.lit(0).cast("long").alias("inner"), F.lit(0).cast("long").alias("acc"), F.lit(0).cast("long").alias("seed"), F.array().cast("array<bigint>").alias("via"),
     )
     if not paths:
         live = live.drop("via")
     start = live = materialize(live, "tree")
     rounds: list[DataFrame] = []
-    for r in range(max_rounds):
+    for _ in range(max_rounds):
         if live.where("up <> id").isEmpty():
             break
-        now = materialize(_contract(live, r, paths), "tree")
+        now = materialize(_contract(live, paths), "tree")
         rounds.append(now)
         live = now.where("fate = 'live'").drop("fate", "kid", "kid_inner")
     else:
@@ -74,10 +74,11 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return parts[0].sparkSession.read.schema(parts[0].schema).parquet(*[p._tessera_path for p in parts])
 
 
-def _contract(live: DataFrame, r: int, paths: bool) -> DataFrame:
+def _contract(live: DataFrame, paths: bool) -> DataFrame:
+    # The round's number stands in the rows, not in the plan: so every round runs the same compiled code.
     kids = live.where("up <> id").groupBy(F.col("up").alias("of")).agg(F.count("*").alias("kids"), F.max("id").alias("kid"))
     known = live.join(kids, live.id == kids.of, "left").drop("of")
-    draw = lambda c: F.xxhash64(c, F.lit(r))
+    draw = lambda c: F.xxhash64(c, F.col("seed"))
     inner = F.col("up").isNotNull() & (F.col("up") != F.col("id"))
     known = known.withColumn("leaf", inner & F.col("kids").isNull()).withColumn("may", inner & (F.col("kids") == 1) & (draw(F.col("id")) > draw(F.col("up"))) & (draw(F.col("id")) > draw(F.col("kid"))))
     # From the child's side: a child that itself has children takes over a chosen parent's pointer.
@@ -94,7 +95,7 @@ def _contract(live: DataFrame, r: int, paths: bool) -> DataFrame:
     return out.select(
         "id", "parent", step(F.col("v_up"), F.col("up")).alias("up"), step(F.col("via_n") + 1 + F.col("v_n"), F.col("via_n")).alias("via_n"),
         step(F.least("via_min", "v", "v_min"), F.col("via_min")).alias("via_min"), step(F.col("inner") + F.col("v_acc") + 1 + F.col("v_inner"), F.col("inner")).alias("inner"),
-        (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc"), *([step(F.concat("via", F.array("v"), "v_via"), F.col("via")).alias("via")] if paths else []),
+        (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc"), (F.col("seed") + 1).alias("seed"), *([step(F.concat("via", F.array("v"), "v_via"), F.col("via")).alias("via")] if paths else []),
         F.when(F.col("leaf"), "rake").when(F.col("g").isNotNull(), "compress").otherwise("live").alias("fate"), F.col("g_kid").alias("kid"), F.col("g_inner").alias("kid_inner"),
     )
 
