@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: set[str] = set()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a scale directory. Column pruning and filters reach this scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,7 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = "file://" + os.path.join(tempfile.gettempdir(), f"tessera-{spark.sparkContext.applicationId}")
+        own = os.path.join(tempfile.gettempdir(), f"tessera-{spark.sparkContext.applicationId}")
+        if own not in _own:
+            _own.add(own)
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = f"file://{own}"
     return folder.rstrip("/")
 
 

@@ -65,7 +65,7 @@ def platform(path: str) -> str:
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
     """Lines with their number from 1. A file of names is read as one row, so its order is kept."""
     whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split(F.rtrim(F.regexp_replace("value", "\r", "")), "\n")).alias("i", "line")).select((F.col("i") + 1).alias("no"), "line")
+    return whole.select(F.posexplode(F.split(F.regexp_replace(F.regexp_replace("value", "\r", ""), "\n+$", ""), "\n")).alias("i", "line")).select((F.col("i") + 1).alias("no"), "line")
 
 
 def read_mtx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
