@@ -276,6 +276,9 @@ SQL = {
     "ora_hypergeom": f"with {views.SQL}, qs as (select distinct upper(gene_name) as g from v where p_size <= 12 and term < 'Brand#3'), ss as (select distinct term, upper(gene_name) as g from v), bg as (select g from qs union select g from ss), k as (select (select count(*) from qs) as n, (select count(*) from bg) as nb), h as (select term, count(*) as set_size, count(*) filter (g in (select g from qs)) as overlap from ss group by 1), e as (select term, overlap, set_size, n, nb, unnest(range(overlap, least(set_size, n) + 1)) as i from h, k where overlap >= 2), p as (select term, overlap, set_size, n, nb, least(1.0, sum(exp(lgamma(set_size + 1) - lgamma(i + 1) - lgamma(set_size - i + 1) + lgamma(nb - set_size + 1) - lgamma(n - i + 1) - lgamma(nb - set_size - n + i + 1) - lgamma(nb + 1) + lgamma(n + 1) + lgamma(nb - n + 1)))) as pval from e where n - i <= nb - set_size group by all), r as (select *, row_number() over (order by pval, term) as rn, count(*) over () as m from p) select term, overlap, set_size, n as query_size, nb as n_background, round(pval, 4) as pval, round(least(1.0, min(pval * m / rn) over (order by rn desc rows between unbounded preceding and current row)), 4) as fdr from r",
 }
 
+_T = SQL["rank_genes_ttest"].replace("round(case when v1 + v2 > 1e-18 then (m1 - m2) / sqrt(v1 + v2) end, 4) + 0.0 as t", "case when v1 + v2 > 1e-18 then (m1 - m2) / sqrt(v1 + v2) end as t")
+SQL["top_markers_per_cluster"] = f"select cluster, gene_id, rank::int as rank, round(t, 4) + 0.0 as t from (select *, row_number() over (partition by cluster order by round(t, 9) desc nulls last, gene_id) as rank from ({_T})) where rank <= 25"
+
 QUERIES = {f.__name__: f for f in (
     qc_metrics, qc_gene_metrics, qc_mad_outliers, qc_mad_scaled_outliers, qc_percentile_outliers, qc_hybrid_outliers, qc_hard_caps, qc_removed, gene_composition, species_vote, gene_flags, filter_genes_min_cells,
     sanitize_bounds, concat_inner, concat_outer, layer_detect, normalize_cp10k_log1p, ambient_subtract, ambient_global, hvg_dispersion, pearson_residuals, scale_clip, cell_cycle, cycle_regressed,
