@@ -314,6 +314,18 @@ SQL = {
     "cache_keys": "select p_partkey, substr(sha256(concat_ws('||', p_partkey::varchar, p_brand, p_type)), 1, 24) as key from part",
 }
 
+_KEY = "case {0} when 'CD8 T' then 'cd8' when 'CD8 T cells' then 'cd8' when 'CD8+ T' then 'cd8' when 'B cells' then 'b' when 'B cell' then 'b' when 'B lymphocyte' then 'b' when 'NK' then 'nk' when 'natural killer' then 'nk' when 'Monocytes' then 'mono' end"
+SQL["label_fusion"] = f"""{_OBS}, l as (select case cluster when '1-URGENT' then 'CD8 T' when '2-HIGH' then 'B cells' when '3-MEDIUM' then 'unknown' else 'NK' end as m,
+   case cell_type when 'BUILDING' then 'CD8 T cells' when 'MACHINERY' then 'B cell' when 'FURNITURE' then 'natural killer' else 'none' end as a,
+   case batch when 'O' then 'CD8+ T' when 'F' then 'B lymphocyte' else 'Monocytes' end as g from o),
+ k as (select m, a, g, {_KEY.format("m")} as km, {_KEY.format("a")} as ka, {_KEY.format("g")} as kg from l),
+ z as (select *, case when km is null then 0 else 1 + (ka is not distinct from km)::int + (kg is not distinct from km)::int end as nm, case when ka is null then 0 else 1 + (km is not distinct from ka)::int + (kg is not distinct from ka)::int end as na, 1 + (km is not distinct from kg)::int + (ka is not distinct from kg)::int as ng from k),
+ b as (select *, greatest(nm, na, ng) as n, (km is not null)::int + (ka is not null)::int + 1 as src, case when km is not null and nm = greatest(nm, na, ng) then km when ka is not null and na = greatest(nm, na, ng) then ka else kg end as best from z),
+ w as (select *, case when km = best then m when ka = best then a else g end as winner from b)
+ select m as marker_label, a as auto_label, g as deg_label, case when km is not null and n >= 2 and km = best then m when km is not null and n >= 2 then 'mixed' when km is not null then m when n >= 2 then winner || '|unvalidated' else 'low_conf' end as cell_type,
+   case when km is not null and n >= 2 and km = best then 'fused' when km is not null and n >= 2 then 'conflict_mixed' when km is not null then 'marker_only' when n >= 2 then 'auto_consensus' else 'insufficient' end as annotation_status,
+   n::int as annotation_n_agree, src::int as annotation_n_sources, count(*) as n from w group by all"""
+
 QUERIES = {f.__name__: f for f in (
     knn_topk, ilisi, pca_batch_r2, silhouette_exact, lsh_knn, paga_edges, path_like, elongation, modularity_clusters, harmonized, resolution_choice, batch_dominance, doublet_tiers, doublet_agreement, doublet_rates,
     cluster_mode, selection_composition, selection_summary, value_histogram, trend_bins, nearest_rank_pct, label_fusion, ensemble_labels, catalog_flatten, marker_scores, best_types, dual_validation,
