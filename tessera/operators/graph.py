@@ -65,6 +65,19 @@ def ivf_fit(base: DataFrame, cells: int = 32, sample: int = 20_000, rounds: int
     return c
 
 
+def ivf_probes(base: DataFrame, centroids: np.ndarray, k: int, recall: float = 0.95, sample: int = 256, seed: int = 7) -> int:
+    """How many cells a query must visit to meet ``recall`` of its ``k`` true neighbours, measured
+    against exact search on at most ``sample`` rows (by hash order), as it depends on the data."""
+    asked = base.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select("id", "vec")
+    pairs = knn(asked, base, k).select("query", "neighbor")
+    pairs = pairs.join(asked.select(F.col("id").alias("query"), F.col("vec").alias("qv")), "query").join(base.select(F.col("id").alias("neighbor"), F.col("vec").alias("bv")), "neighbor").select("qv", "bv").toPandas()
+    if not len(pairs):
+        return len(centroids)
+    far = lambda v: ((np.stack(v).astype(float)[:, None] - centroids[None]) ** 2).sum(-1)
+    turn = far(pairs["qv"]).argsort(axis=1, kind="stable").argsort(axis=1)[range(len(pairs)), far(pairs["bv"]).argmin(1)]
+    return int(np.sort(turn)[int(np.ceil(recall * len(turn))) - 1]) + 1
+
+
 def ivf_search(queries: DataFrame, base: DataFrame, centroids: np.ndarray, k: int, probes: int = 8) -> DataFrame:
     """Approximate neighbours: every base row sits in its nearest cell, each query visits ``probes``."""
     def assign(df: DataFrame, m: int) -> DataFrame:
