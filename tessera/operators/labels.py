@@ -99,19 +99,20 @@ def dual_validation(df: DataFrame, pos: str = "pos_means", neg: str = "neg_means
 
 
 def marker_scores(means: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Scores of every catalog type in every cluster that expresses one of its genes.
+    """Scores of every catalog entry in every cluster of its tissue that expresses one of its genes.
 
-    ``means(cluster, gene, mean)``, ``catalog(type, pos_no, depth, positive, negative)``. Score = mean
-    of positives less mean of negatives, 0.01 per lineage step, 1 if dually validated. Joined by gene,
-    so a type and a cluster that share none meet nowhere; absent genes count as zero.
+    ``means(cluster, tissue, gene, mean)``, ``catalog(tissue, type, pos_no, depth, positive,
+    negative)``; an entry is its ``pos_no``, so one type may have several. Score = mean of positives
+    less mean of negatives, 0.01 per lineage step, 1 if dually validated. Joined by tissue and gene, so
+    an entry and a cluster that share none meet nowhere; absent genes count as zero.
     """
-    genes = catalog.select("type", F.explode(F.concat(F.transform("positive", lambda g: F.struct(g.alias("gene"), F.lit(True).alias("up"))), F.transform(F.coalesce("negative", F.array()), lambda g: F.struct(g.alias("gene"), F.lit(False).alias("up"))))).alias("g")).select("type", "g.gene", "g.up").distinct()
-    size = genes.groupBy("type").agg(F.sum(F.col("up").cast("int")).alias("n_pos"), F.sum((~F.col("up")).cast("int")).alias("n_neg"))
-    met = means.join(genes, "gene").groupBy("cluster", "type").agg(
+    genes = catalog.select("tissue", "pos_no", F.explode(F.concat(F.transform("positive", lambda g: F.struct(g.alias("gene"), F.lit(True).alias("up"))), F.transform(F.coalesce("negative", F.array()), lambda g: F.struct(g.alias("gene"), F.lit(False).alias("up"))))).alias("g")).select("tissue", "pos_no", "g.gene", "g.up").distinct()
+    size = genes.groupBy("pos_no").agg(F.sum(F.col("up").cast("int")).alias("n_pos"), F.sum((~F.col("up")).cast("int")).alias("n_neg"))
+    met = means.join(genes, ["tissue", "gene"]).groupBy("cluster", "pos_no").agg(
         F.sum(F.when(F.col("up"), F.col("mean")).otherwise(0.0)).alias("sp"), F.sum(F.when(~F.col("up"), F.col("mean")).otherwise(0.0)).alias("sn"),
         F.sum((F.col("up") & (F.col("mean") >= 0.1)).cast("int")).alias("hit"), F.sum((~F.col("up") & (F.col("mean") > 0.5)).cast("int")).alias("miss"),
     )
-    x = met.join(size, "type").join(catalog.select("type", "pos_no", "depth"), "type")
+    x = met.join(size, "pos_no").join(catalog.select("type", "pos_no", "depth"), "pos_no")
     ok = (F.col("hit") >= 2) & ((F.col("n_neg") == 0) | (F.col("n_neg") - F.col("miss") >= 1))
     score = F.col("sp") / F.col("n_pos") - F.when(F.col("n_neg") > 0, F.col("sn") / F.col("n_neg")).otherwise(0.0) + 0.01 * F.col("depth") + ok.cast("double")
     return x.where("n_pos >= 2").select("cluster", "type", "pos_no", ok.alias("dual_ok"), score.alias("score"))
@@ -125,9 +126,9 @@ def best_type(scores: DataFrame) -> DataFrame:
 
 def catalog_labels(top: DataFrame, catalog: DataFrame, least: float = 0.25) -> DataFrame:
     """(cluster, deg_label, share): the type whose positives the cluster's top genes cover best, if a
-    quarter of them or more; types with under two positives don't stand."""
-    types = catalog.where(F.size("positive") >= 2).select("type", "pos_no", F.size("positive").alias("n"), F.explode("positive").alias("gene")).withColumn("gene", F.upper("gene"))
-    hits = top.select("cluster", F.upper(F.col("gene")).alias("gene")).distinct().join(types, "gene").groupBy("cluster", "type", "pos_no", "n").agg(F.count("*").alias("k"))
+    quarter of them or more; entries of the cluster's own tissue stand, under two positives don't."""
+    types = catalog.where(F.size("positive") >= 2).select("tissue", "type", "pos_no", F.size("positive").alias("n"), F.explode("positive").alias("gene")).withColumn("gene", F.upper("gene"))
+    hits = top.select("cluster", "tissue", F.upper(F.col("gene")).alias("gene")).distinct().join(types, ["tissue", "gene"]).groupBy("cluster", "type", "pos_no", "n").agg(F.count("*").alias("k"))
     best = best_type(hits.withColumn("score", F.col("k") / F.col("n")))
     all_ = top.select("cluster").distinct().join(best, "cluster", "left")
     good = F.coalesce(F.col("score") >= least, F.lit(False))

@@ -154,17 +154,19 @@ def catalog_flatten(s, d):
 
 
 def _catalog(s, d):
-    """The catalog's pbmc types, in the order of the table; rows without markers stay."""
-    m = table(s, d, "marker_catalog").where("tissue = 'pbmc' and name is not null")
-    return m.groupBy("name").agg(F.min("row_id").alias("pos_no"), F.min_by(F.struct("lineage", "positive", "negative"), "row_id").alias("r")).select(F.col("name").alias("type"), "pos_no", F.coalesce(F.size("r.lineage"), F.lit(0)).alias("depth"), F.array_distinct(F.coalesce("r.positive", F.array().cast("array<string>"))).alias("positive"), F.array_distinct(F.coalesce("r.negative", F.array().cast("array<string>"))).alias("negative"))
+    """The entries of all tissues, numbered in the order of the table; only exact repeats are one
+    entry, and rows without markers stay."""
+    m = table(s, d, "marker_catalog").where("name is not null")
+    m = m.groupBy("tissue", "name", "cl_id", "source", "lineage", "positive", "negative").agg(F.min("row_id").alias("pos_no"))
+    return m.select("tissue", F.col("name").alias("type"), "pos_no", F.coalesce(F.size("lineage"), F.lit(0)).alias("depth"), F.array_distinct(F.coalesce("positive", F.array().cast("array<string>"))).alias("positive"), F.array_distinct(F.coalesce("negative", F.array().cast("array<string>"))).alias("negative"))
 
 
 def _means(s, d):
-    """Mean expression of genes in clusters: how often a tissue's catalog names a gene."""
+    """Mean expression of genes in clusters, one a tissue: how often its catalog names a gene."""
     m = table(s, d, "marker_catalog")
     per = m.groupBy("tissue").agg(F.count("*").alias("n"))
     c = m.select("tissue", F.explode("positive").alias("gene")).groupBy("tissue", "gene").agg(F.count("*").alias("c"))
-    return c.join(per, "tissue").select(F.col("tissue").alias("cluster"), "gene", (F.col("c") * 40.0 / F.col("n")).alias("mean"))
+    return c.join(per, "tissue").select(F.col("tissue").alias("cluster"), "tissue", "gene", (F.col("c") * 40.0 / F.col("n")).alias("mean"))
 
 
 def marker_scores(s, d):
@@ -184,7 +186,7 @@ def dual_validation(s, d):
 def deg_catalog_labels(s, d):
     m = _means(s, d)
     top = m.withColumn("r", F.expr("row_number() over (partition by cluster order by mean desc, gene)")).where("r <= 25")
-    return rounded(labels.catalog_labels(top.select("cluster", "gene"), _catalog(s, d)), "share")
+    return rounded(labels.catalog_labels(top.select("cluster", "tissue", "gene"), _catalog(s, d)), "share")
 
 
 def ontology_ids(s, d):

@@ -1,5 +1,6 @@
 """Registered queries on the test tables, against results computed apart from them."""
 
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import pytest
@@ -15,3 +16,38 @@ def test_index_recall_of_the_registered_query(spark, size):
         pytest.skip("no test data here")
     got, want = ({(r.query, r.neighbor) for r in f(spark, str(DATA / size)).collect()} for f in (evidence.lsh_knn, evidence.knn_topk))
     assert len(want) and len(got & want) / len(want) >= 0.9
+
+
+def test_each_tissue_meets_all_its_own_catalog_entries(spark, sf):
+    rows = sorted((r.asDict() for r in spark.read.parquet(f"{sf}/marker_catalog.parquet").collect()), key=lambda r: r["row_id"])
+    size, named = Counter(r["tissue"] for r in rows), Counter((r["tissue"], g) for r in rows for g in r["positive"] or [])
+    means = defaultdict(dict)
+    for (t, g), c in named.items():
+        means[t][g] = c * 40 / size[t]
+    entries = {}
+    for r in rows:
+        if r["name"] is not None:
+            entries.setdefault((r["tissue"], r["name"], r["cl_id"], r["source"], *(tuple(r[c] or ()) for c in ("lineage", "positive", "negative"))), r["row_id"])
+    top = {t: {g.upper() for g in sorted(m, key=lambda g: (-m[g], g))[:25]} for t, m in means.items()}
+    scores, best, shares = {}, {}, {t: ("unknown", 0.0, 0) for t in means}
+    for (t, name, _, _, lineage, pos, neg), no in entries.items():
+        m, pos, neg = means[t], set(pos), set(neg)
+        if len(pos) < 2:
+            continue
+        share = sum(g.upper() in top[t] for g in pos) / len(pos)
+        if share > shares[t][1] + 1e-9:
+            shares[t] = (name, share, no)
+        if not (pos | neg) & set(m):
+            continue
+        ok = sum(m.get(g, 0) >= 0.1 for g in pos) >= 2 and (not neg or sum(m.get(g, 0) <= 0.5 for g in neg) >= 1)
+        score = sum(m.get(g, 0) for g in pos) / len(pos) - (sum(m.get(g, 0) for g in neg) / len(neg) if neg else 0) + 0.01 * len(lineage) + ok
+        scores[t, no] = (name, ok, score)
+        if t not in best or score > best[t][2] + 1e-9:
+            best[t] = scores[t, no]
+    got = {(r.cluster, r.pos_no): (r.type, r.dual_ok, r.score) for r in evidence.marker_scores(spark, sf).collect()}
+    near = lambda a, b: a[:-1] == b[:-1] and abs(a[-1] - b[-1]) <= 1e-4
+    assert got.keys() == scores.keys() and len({t for t, _ in got}) > 30 and all(near(got[k], scores[k]) for k in got)
+    got = {r.cluster: (r.type, r.dual_ok, r.score) for r in evidence.best_types(spark, sf).collect()}
+    assert got.keys() == best.keys() and all(near(got[t], best[t]) for t in got)
+    got = {r.cluster: (r.deg_label, r.share) for r in evidence.deg_catalog_labels(spark, sf).collect()}
+    assert got.keys() == shares.keys() and all(near(got[t], (n if x >= 0.25 else "unknown", x)) for t, (n, x, _) in shares.items())
