@@ -171,6 +171,25 @@ def pearson_residuals(matrix: DataFrame, genes: DataFrame, cells: DataFrame, the
     return x.select("cell_id", "gene_id", F.greatest(-top, F.least(top, z)).alias("value"))
 
 
+def pearson_summary(matrix: DataFrame, genes: DataFrame, cells: DataFrame, theta: float = 100.0) -> DataFrame:
+    """(gene_id, mean, top) of :func:`pearson_residuals` without its rows: a zero's residual depends on
+    the cell's total alone, so zeros are counted per gene and distinct total, and of single entries
+    only the stored ones are met. Totals of counts repeat, so that is far less than all cells."""
+    m = matrix.join(genes.select("gene_id"), "gene_id", "left_semi")
+    per_cell, per_gene = m.groupBy("cell_id").agg(F.sum("value").alias("nc")), m.groupBy("gene_id").agg(F.sum("value").alias("ng"))
+    one = m.agg(F.sum("value").alias("total")).crossJoin(cells.agg(F.count("*").alias("n")))
+    all_ = cells.select("cell_id").join(per_cell, "cell_id", "left").select("cell_id", F.coalesce("nc", F.lit(0.0)).alias("nc"))
+    mu = F.col("nc") * F.col("ng") / F.col("total")
+    top = F.sqrt(F.col("n").cast("double"))
+    z = lambda v: F.greatest(-top, F.least(top, F.when(mu > 0, (v - mu) / F.sqrt(mu + mu * mu / theta)).otherwise(0.0)))
+    genes_ = F.broadcast(per_gene.crossJoin(one))
+    stored = m.join(all_, "cell_id").join(genes_, "gene_id").groupBy("gene_id", "nc").agg(F.count("*").alias("k"), F.sum(z(F.col("value"))).alias("s"), F.max(z(F.col("value"))).alias("hi"))
+    grid = all_.groupBy("nc").agg(F.count("*").alias("c")).crossJoin(genes_).join(stored, ["gene_id", "nc"], "left")
+    zeros = F.col("c") - F.coalesce("k", F.lit(0))
+    zero = z(F.lit(0.0))
+    return grid.groupBy("gene_id").agg((F.sum(F.coalesce("s", F.lit(0.0)) + zeros * zero) / F.first("n")).alias("mean"), F.max(F.greatest("hi", F.when(zeros > 0, zero))).alias("top"))
+
+
 def hvg_dispersion(lognorm: DataFrame, n_cells: int, n_top: int = 2000, n_bins: int = 20) -> DataFrame:
     """Genes by normalised dispersion (variance over mean of the unlogged values, z-scored within
     bins of mean); zeros count. ``highly_variable`` marks the first ``n_top``, ties by gene id."""
@@ -201,6 +220,19 @@ def scale_clip(matrix: DataFrame, cells: DataFrame, genes: DataFrame, clip: floa
     return grid.select("cell_id", "gene_id", F.greatest(F.lit(-clip), F.least(F.lit(clip), z)).alias("value"))
 
 
+def scale_summary(matrix: DataFrame, cells: DataFrame, genes: DataFrame, clip: float = 10.0) -> DataFrame:
+    """(gene_id, n, top, low) of :func:`scale_clip` without its rows: the score rises with the value,
+    and all zeros of a gene share one."""
+    n = cells.agg(F.count("*").alias("n"))
+    m = matrix.join(genes.select("gene_id"), "gene_id", "left_semi").join(cells.select("cell_id", F.lit(True).alias("own")), "cell_id", "left")
+    v = F.when(F.col("own"), F.col("value"))
+    per = m.groupBy("gene_id").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"), F.count(v).alias("k"), F.max(v).alias("hi"), F.min(v).alias("lo")).crossJoin(F.broadcast(n))
+    sd = F.sqrt((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1))
+    zero = F.when(F.col("k") < F.col("n"), F.lit(0.0))
+    z = lambda x: F.greatest(F.lit(-clip), F.least(F.lit(clip), F.when(F.col("sd") > 0, (x - F.col("s") / F.col("n")) / F.col("sd")).otherwise(0.0)))
+    return per.withColumn("sd", sd).select("gene_id", "n", z(F.greatest("hi", zero)).alias("top"), z(F.least("lo", zero)).alias("low"))
+
+
 def ambient_rho(umi: DataFrame) -> DataFrame:
     """One row: how much of each cell's counts is ambient, from the spread of the totals."""
     q = umi.agg(F.percentile("umi", 0.1).alias("q10"), F.percentile("umi", 0.9).alias("q90"))

@@ -8,12 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import knn
+from tessera.session import materialize
 
 
 def pca(embed: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
@@ -33,35 +33,49 @@ def kmeans(embed: DataFrame, k: int, seed: int = 1) -> DataFrame:
 
 
 def cell_vectors(matrix: DataFrame, genes: DataFrame) -> tuple[DataFrame, list]:
-    """(id, vec) over selected genes, and the genes in order. A cell's row is as long as the selection."""
+    """(id, i, x): a cell's stored values over selected genes by their places, and the genes in order."""
     names = [r[0] for r in genes.select("gene_id").distinct().orderBy("gene_id").collect()]
-    at = {g: i for i, g in enumerate(names)}
-    place = F.udf(lambda e: SparseVector(len(names), sorted((at[x[0]], float(x[1])) for x in e)), VectorUDT())
-    rows = matrix.join(genes.select("gene_id").distinct(), "gene_id", "left_semi").groupBy("cell_id").agg(F.collect_list(F.struct("gene_id", "value")).alias("e"))
-    return rows.select(F.col("cell_id").alias("id"), vector_to_array(place("e")).alias("vec")), names
+    at = matrix.sparkSession.createDataFrame([(g, i) for i, g in enumerate(names)], f"gene_id {dict(matrix.dtypes)['gene_id']}, i int")
+    e = matrix.join(F.broadcast(at), "gene_id").groupBy(F.col("cell_id").alias("id")).agg(F.collect_list(F.struct("i", F.col("value").cast("double").alias("x"))).alias("e"))
+    return e.select("id", F.col("e.i").alias("i"), F.col("e.x").alias("x")), names
 
 
 def impute_low_rank(matrix: DataFrame, genes: DataFrame, k: int = 8) -> DataFrame:
     """Values of the selected genes from the first ``k`` components, zero below the median of a gene's
-    stored values (a layer of its own; the counts stay as they are)."""
+    stored values (a layer of its own; the counts stay as they are).
+
+    Products are summed for pairs of genes that a cell holds, zeros follow from the number of cells;
+    what reaches the driver is bounded by the pairs of selected genes.
+    """
     cells, names = cell_vectors(matrix, genes)
-    _, pc = pca(cells, min(k, len(names)))
-    mean = np.array([r[0] for r in cells.select(F.posexplode("vec").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").select("m").collect()])
-    floor = {r[0]: r[1] for r in matrix.join(genes.select("gene_id").distinct(), "gene_id", "left_semi").groupBy("gene_id").agg(F.median("value")).collect()}
-    low = np.array([floor.get(g, 0.0) for g in names])
+    cells, size = materialize(cells, "cells"), len(names)
     kinds = dict(matrix.dtypes)
+    result = f"cell_id {kinds['cell_id']}, gene_id {kinds['gene_id']}, value double"
+    n = cells.count()
+    if not n:
+        return matrix.sparkSession.createDataFrame([], result)
+    long = cells.select("i", "x", F.explode(F.arrays_zip("i", "x")).alias("a"))
+    per = long.groupBy(F.col("a.i").alias("i")).agg(F.sum("a.x").alias("s"), F.median("a.x").alias("low")).toPandas()
+    mean, low = np.zeros(size), np.zeros(size)
+    mean[per["i"]], low[per["i"]] = per["s"] / n, per["low"]
+    pairs = long.select(F.col("a").alias("a"), F.explode(F.arrays_zip("i", "x")).alias("b")).where("a.i <= b.i").groupBy(F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("s")).toPandas()
+    gram = np.zeros((size, size))
+    gram[pairs["i"], pairs["j"]] = gram[pairs["j"], pairs["i"]] = pairs["s"]
+    pc = np.linalg.eigh(gram - n * np.outer(mean, mean))[1][:, ::-1][:, : min(k, size)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = np.array(names)
         for p in batches:
-            if len(p):
-                x = np.stack(p["vec"])
+            for at in range(0, len(p), 512):
+                part = p.iloc[at : at + 512]
+                x = np.zeros((len(part), size))
+                x[np.repeat(np.arange(len(part)), part["i"].map(len)), np.concatenate(part["i"].to_numpy())] = np.concatenate(part["x"].to_numpy())
                 y = (x - mean) @ pc @ pc.T + mean
                 y = np.where((x == 0) & (y < low), 0.0, np.where(x > 0, np.maximum(y, x), y))
                 r, c = np.nonzero(y > 0)
-                yield pd.DataFrame({"cell_id": p["id"].to_numpy()[r], "gene_id": ids[c], "value": y[r, c]})
+                yield pd.DataFrame({"cell_id": part["id"].to_numpy()[r], "gene_id": ids[c], "value": y[r, c]})
 
-    return cells.mapInPandas(run, f"cell_id {kinds['cell_id']}, gene_id {kinds['gene_id']}, value double")
+    return cells.mapInPandas(run, result)
 
 
 def simulated_doublets(embed: DataFrame, rate: float, k: int = 15, seed: int = 0) -> DataFrame:

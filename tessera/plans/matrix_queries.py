@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.operators import cells, stats
 from tessera.plans import views
-from tessera.session import table
+from tessera.session import materialize, table
 
 R = 4  # digits to which results are rounded on both sides
+N_HVG = 2000
 CYCLE = ["MT-G1", "MT-G2", "RPL5", "RPL8", "HBA9", "HBA10", "G11", "G12"]
 
 
@@ -121,20 +122,18 @@ def hvg_dispersion(s, d):
     return rounded(cells.hvg_dispersion(_logged(s, d), n, n_top=200), "mean", "dispersion", "dispersion_norm").drop("highly_variable")
 
 
-def _selected(m):
-    """The 50 genes with the largest sum of squares: these two operators are dense, so they run on a
-    selection of genes by nature."""
-    return m.groupBy("gene_id").agg(F.sum(F.col("value") * F.col("value")).alias("q")).orderBy(F.desc(F.round("q", 6)), "gene_id").limit(50).select("gene_id")
+def _selected(s, d):
+    """The highly variable genes, as many as the pipeline takes, written once as a table."""
+    hv = cells.hvg_dispersion(_logged(s, d), views.obs(s, d).count(), n_top=N_HVG)
+    return materialize(hv.where("highly_variable").select("gene_id"), "genes")
 
 
 def pearson_residuals(s, d):
-    r = cells.pearson_residuals(views.matrix(s, d), _selected(views.matrix(s, d)), views.obs(s, d))
-    return rounded(r.groupBy("gene_id").agg(F.avg("value").alias("mean"), F.max("value").alias("top")), "mean", "top")
+    return rounded(cells.pearson_summary(views.matrix(s, d), _selected(s, d), views.obs(s, d)), "mean", "top")
 
 
 def scale_clip(s, d):
-    r = cells.scale_clip(_logged(s, d), views.obs(s, d), _selected(_logged(s, d)))
-    return rounded(r.groupBy("gene_id").agg(F.count("*").alias("n"), F.max("value").alias("top"), F.min("value").alias("low")), "top", "low")
+    return rounded(cells.scale_summary(_logged(s, d), views.obs(s, d), _selected(s, d)), "top", "low")
 
 
 def cell_cycle(s, d):

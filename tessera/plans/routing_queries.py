@@ -12,6 +12,8 @@ from tessera.plans.text_queries import _D, _POST, _docs, _questions
 from tessera.session import table
 
 OPTIONS = {"lenient": 7, "recommended": 5, "strict": 4}
+# Components of the pipeline's embedding and of its imputation.
+N_PCS, N_IMPUTE = 40, 50
 
 
 def intent_rules(s, d):
@@ -53,7 +55,7 @@ def match_figures(s, d):
 
 
 def pca_embed(s, d):
-    return embedding.pca(_embed(s, d), 5)[0]
+    return embedding.pca(_embed(s, d), N_PCS)[0]
 
 
 def kmeans_clusters(s, d):
@@ -61,8 +63,7 @@ def kmeans_clusters(s, d):
 
 
 def impute_low_rank(s, d):
-    m = _logged(s, d)
-    return rounded(embedding.impute_low_rank(m, _selected(m), 5), "value")
+    return rounded(embedding.impute_low_rank(_logged(s, d), _selected(s, d), N_IMPUTE), "value")
 
 
 def doublet_scores(s, d):

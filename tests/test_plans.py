@@ -3,9 +3,15 @@
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.operators import cells, embedding
 from tessera.plans import evidence_queries as evidence
+from tessera.plans import matrix_queries as matrix
+from tessera.plans import routing_queries as routing
+from tessera.plans import views
 
 DATA = Path("/root/testdata")
 
@@ -51,3 +57,46 @@ def test_each_tissue_meets_all_its_own_catalog_entries(spark, sf):
     assert got.keys() == best.keys() and all(near(got[t], best[t]) for t in got)
     got = {r.cluster: (r.deg_label, r.share) for r in evidence.deg_catalog_labels(spark, sf).collect()}
     assert got.keys() == shares.keys() and all(near(got[t], (n if x >= 0.25 else "unknown", x)) for t, (n, x, _) in shares.items())
+
+
+def test_selected_genes_are_the_variable_ones(spark, sf):
+    genes = views.matrix(spark, sf).select("gene_id").distinct()
+    got = matrix.pearson_residuals(spark, sf).collect()
+    dense = cells.pearson_residuals(views.matrix(spark, sf), genes, views.obs(spark, sf)).groupBy("gene_id").agg(F.avg("value").alias("mean"), F.max("value").alias("top"))
+    want = {r.gene_id: (r.mean, r.top) for r in dense.collect()}
+    assert len(got) == len(want) == 200 and all(np.allclose((r["mean"], r.top), want[r.gene_id], atol=1e-4) for r in got)
+    got = matrix.scale_clip(spark, sf).collect()
+    dense = cells.scale_clip(matrix._logged(spark, sf), views.obs(spark, sf), genes).groupBy("gene_id").agg(F.count("*").alias("n"), F.max("value").alias("top"), F.min("value").alias("low"))
+    want = {r.gene_id: (r.n, r.top, r.low) for r in dense.collect()}
+    assert len(got) == len(want) == 200 and all(np.allclose((r.n, r.top, r.low), want[r.gene_id], atol=1e-4) for r in got)
+    assert {r.gene_id for r in routing.impute_low_rank(spark, sf).select("gene_id").distinct().collect()} == set(want)
+    assert len(routing.pca_embed(spark, sf).first().vec) == 40
+    if (DATA / "sf0.1").is_dir():
+        large = str(DATA / "sf0.1")
+        hv = cells.hvg_dispersion(matrix._logged(spark, large), views.obs(spark, large).count()).where("highly_variable")
+        assert matrix._selected(spark, large).count() == 2000 and hv.join(matrix._selected(spark, large), "gene_id").count() == 2000
+
+
+def test_closed_forms_where_genes_are_full_or_constant(spark):
+    rng = np.random.default_rng(4)
+    x = rng.poisson(1.5, (30, 5)).astype(float)
+    x[:, 3], x[:, 4], x[7] = x[:, 3] + 1, 2, 0
+    m = spark.createDataFrame([(i, g, float(x[i, g])) for i in range(30) for g in range(5) if x[i, g]], "cell_id int, gene_id int, value double")
+    obs, genes = spark.range(30).select(F.col("id").cast("int").alias("cell_id")), m.select("gene_id").distinct()
+    mu = x.sum(1, keepdims=True) * x.sum(0) / x.sum()
+    z = np.divide(x - mu, np.sqrt(mu + mu * mu / 100), out=np.zeros_like(x), where=mu > 0).clip(-(30**0.5), 30**0.5)
+    for r in cells.pearson_summary(m, genes, obs).collect():
+        assert np.allclose((r["mean"], r.top), (z[:, r.gene_id].mean(), z[:, r.gene_id].max()))
+    z = ((x - x.mean(0)) / x.std(0, ddof=1)).clip(-10, 10)
+    for r in cells.scale_summary(m, obs, genes).collect():
+        assert r.n == 30 and np.allclose((r.top, r.low), (z[:, r.gene_id].max(), z[:, r.gene_id].min()))
+    held = x[x.any(1)]
+    c = held - held.mean(0)
+    pc = np.linalg.svd(c)[2][:2].T
+    y = c @ pc @ pc.T + held.mean(0)
+    low = np.array([np.median(v[v > 0]) for v in held.T])
+    y = np.where((held == 0) & (y < low), 0, np.where(held > 0, np.maximum(y, held), y))
+    got = np.zeros_like(x)
+    for r in embedding.impute_low_rank(m, genes, 2).collect():
+        got[r.cell_id, r.gene_id] = r.value
+    assert np.allclose(got[x.any(1)], np.maximum(y, 0)) and not got[7].any()
