@@ -48,6 +48,7 @@ class Advance:
 
     events: DataFrame
     state: DataFrame
+    before: DataFrame
 
     @property
     def orphans(self) -> DataFrame:
@@ -57,7 +58,8 @@ class Advance:
 
     def snapshots(self, period: str = "yyyy-MM") -> DataFrame:
         """Per table and period: references, orphans at their own time, references that arriving
-        parents resolved or deletions reopened, and what is open at the period's end."""
+        parents resolved or deletions reopened, and what is open at the period's end, counted on from
+        what was open in the state before."""
         was, now = F.coalesce("alive_before", F.lit(False)), F.coalesce("alive_now", F.lit(False))
         delta = F.when(F.col("kind") == 1, (~now).cast("long")).when(was & ~now, F.col("n_now")).when(~was & now, -F.col("n_now")).otherwise(0)
         per = (
@@ -72,14 +74,17 @@ class Advance:
             )
         )
         w = Window.partitionBy("ref_table").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
-        return per.select("ref_table", "period", "n_refs", "n_orphans", "n_resolved", "n_reopened", F.sum("delta").over(w).alias("n_open"))
+        held = self.before.where("not coalesce(alive, false)").groupBy("ref_table").agg(F.sum("n_refs").alias("held"))
+        n_open = F.sum("delta").over(w) + F.coalesce("held", F.lit(0))
+        return per.join(held, "ref_table", "left").select("ref_table", "period", "n_refs", "n_orphans", "n_resolved", "n_reopened", n_open.alias("n_open"))
 
 
 def advance(state: DataFrame, parents: DataFrame, refs: DataFrame, ref_tables: list[str], bucket: str = "day") -> Advance:
     """Bring ``state`` forward by one batch.
 
     Batches must follow each other in event time (rows within a batch may come in any order);
-    ``n_open`` of later batches then continues that of the state.
+    ``n_open`` of later batches then continues that of the state. A period that two batches share has
+    a row in either; the later one's ``n_open`` holds, its other counts add up.
     """
     tables = F.explode(F.array(*map(F.lit, ref_tables)))
     at = F.coalesce(F.date_trunc(bucket, "ts"), F.lit(_START).cast("timestamp")).alias("bucket")
@@ -104,7 +109,7 @@ def advance(state: DataFrame, parents: DataFrame, refs: DataFrame, ref_tables: l
         F.last("alive", True).over(upto).alias("alive_now"), F.last("alive", True).over(until).alias("alive_before"), F.sum("n").over(upto).alias("n_now"),
     )
     new = per.groupBy("ref_table", "key").agg(F.max("v").alias("v"), F.sum("n").alias("n_refs"))
-    return Advance(events, new.select("ref_table", "key", "v.alive", "v.ts", "v.seq", "n_refs"))
+    return Advance(events, new.select("ref_table", "key", "v.alive", "v.ts", "v.seq", "n_refs"), state)
 
 
 def find_orphans(parents: DataFrame, refs: Mapping[str, DataFrame], bucket: str = "day") -> Advance:

@@ -27,7 +27,8 @@ def index_stream(docs: DataFrame, path: str, checkpoint: str, size: int = 900, o
 def orphan_stream(events: DataFrame, folder: str, checkpoint: str, ref_tables: list[str]) -> StreamingQuery:
     """``events(kind, ref_table, key, ts, row_id, deleted)`` of parents and references, in the order of
     time from batch to batch. The state of batch n is a table of its own, named by n, so a repeated
-    batch starts from the same state; orphans go to ``folder``/orphans."""
+    batch starts from the same state; orphans go to ``folder``/orphans, the batch's counts per table and
+    period to ``folder``/snapshots."""
 
     def step(batch: DataFrame, no: int) -> None:
         spark = batch.sparkSession
@@ -36,6 +37,7 @@ def orphan_stream(events: DataFrame, folder: str, checkpoint: str, ref_tables: l
         refs = batch.where("kind = 'reference' and key is not null").select("ref_table", "key", "ts", "row_id")
         done = advance(state, parents, refs, ref_tables)
         done.orphans.write.mode("overwrite").parquet(f"{folder}/orphans/batch={no}")
+        done.snapshots().write.mode("overwrite").parquet(f"{folder}/snapshots/batch={no}")
         done.state.write.mode("overwrite").parquet(f"{folder}/state/{no}")
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -98,3 +98,26 @@ def test_stream_keeps_the_state(spark, tmp_path):
         q.awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out/orphans").select("row_id").collect()
     assert sorted(x.row_id for x in got) == [1, 4]
+
+
+def test_open_references_continue_over_batches(spark):
+    parents, refs = made(5)
+    p, r = frames(spark, parents, refs)
+    state, snaps = empty_state(spark), []
+    for lo, hi in ((0, 31), (31, 60), (60, 100)):
+        a, b = (F.lit(T0 + timedelta(days=x)) for x in (lo, hi))
+        step = advance(state, p.where((F.col("ts") >= a) & (F.col("ts") < b)), r.where((F.col("ts") >= a) & (F.col("ts") < b)), ["m"])
+        snaps += [(x.period, x.n_open) for x in step.snapshots().collect()]
+        state = spark.createDataFrame(step.state.collect(), step.state.schema)
+    assert sorted(snaps) == sorted((x.period, x.n_open) for x in find_orphans(p, {"m": r}).snapshots().collect())
+
+
+def test_stream_writes_snapshots(spark, tmp_path):
+    from tessera.streaming.incremental import orphan_stream
+
+    schema = "kind string, ref_table string, key bigint, ts timestamp, row_id bigint, deleted boolean"
+    for batch in ([("reference", "m", 1, T0, i, None) for i in range(3)], [("parent", None, 1, T0 + timedelta(days=40), 9, False)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "src"))
+        orphan_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "src")), str(tmp_path / "out"), str(tmp_path / "cp"), ["m"]).awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out/snapshots").collect()
+    assert sorted((x.period, x.n_orphans, x.n_resolved, x.n_open) for x in got) == [("2024-01", 3, 0, 3), ("2024-02", 0, 3, 0)]
