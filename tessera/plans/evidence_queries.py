@@ -34,7 +34,7 @@ def _edges(s, d, k=15):
 
 def ilisi(s, d):
     e = _embed(s, d)
-    return rounded(graph.ilisi(_edges(s, d), e.select("id", "label"), e.select("label").distinct().count()), "ilisi")
+    return rounded(graph.ilisi(_edges(s, d, 30), e.select("id", "label"), e.select("label").distinct().count()), "ilisi")
 
 
 def pca_batch_r2(s, d):

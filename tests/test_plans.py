@@ -100,3 +100,13 @@ def test_closed_forms_where_genes_are_full_or_constant(spark):
     for r in embedding.impute_low_rank(m, genes, 2).collect():
         got[r.cell_id, r.gene_id] = r.value
     assert np.allclose(got[x.any(1)], np.maximum(y, 0)) and not got[7].any()
+
+
+def test_mixing_counts_thirty_neighbours(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("embedding", "label").toPandas()
+    x, lab = np.stack(rows["embedding"]).astype(float), np.unique(rows["label"], return_inverse=True)[1]
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    p = np.stack([np.bincount(lab[i], minlength=lab.max() + 1) / 30 for i in d.argsort(1, kind="stable")[:, :30]])
+    want = (-(p * np.log(p + 1e-12)).sum(1) / np.log(lab.max() + 1)).mean()
+    assert abs(evidence.ilisi(spark, sf).first().ilisi - want) < 1e-4
