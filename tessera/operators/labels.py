@@ -157,18 +157,20 @@ def validate_claims(claims: DataFrame) -> DataFrame:
 def match_states(labels: DataFrame, states: DataFrame) -> DataFrame:
     """(label, state_no, how): by name or alias, else the first state whose name is in the label.
 
-    ``labels(label)`` distinct; ``states(state_no, name, aliases)``. The second stage cuts a label into
-    its runs of words and joins them by equality, so no label meets all states; a name within a word
-    isn't looked for.
+    ``labels(label)`` distinct; ``states(state_no, name, aliases)``. For the second stage a name is
+    looked up by the one of its runs of three characters that the fewest labels hold (a shorter name by
+    itself) and then compared, so every label that holds it is met, but no label meets all states.
     """
     l = labels.where(~F.lower(F.trim("label")).isin(SKIP)).select("label", F.lower(F.trim("label")).alias("key"))
     names = states.select("state_no", F.explode(F.array_distinct(F.filter(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda a: a.isNotNull()))).alias("a")).select("state_no", F.lower("a").alias("key")).groupBy("key").agg(F.min("state_no").alias("state_no"))
     exact = l.join(names, "key").select("label", "state_no", F.lit("exact").alias("how"))
-    words = F.split("key", " ")
-    n = F.size(words)
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.array_join(F.slice(words, i, j - i + 1), " "))))
-    own = states.where("name <> ''").groupBy(F.lower("name").alias("run")).agg(F.min("state_no").alias("state_no"))
-    inside = l.join(exact.select("label"), "label", "left_anti").select("label", F.explode(F.array_distinct(runs)).alias("run")).join(own, "run").groupBy("label").agg(F.min("state_no").alias("state_no")).withColumn("how", F.lit("inside"))
+    runs = lambda c, n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    own = states.where("name <> ''").groupBy(F.lower("name").alias("name")).agg(F.min("state_no").alias("state_no"))
+    grams = l.join(exact.select("label"), "label", "left_anti").select("label", "key", F.explode(F.array_distinct(F.concat(runs(F.col("key"), 1), runs(F.col("key"), 2), runs(F.col("key"), 3)))).alias("run"))
+    held = grams.groupBy("run").agg(F.count("*").alias("n"))
+    parts = own.select("name", "state_no", F.explode(F.when(F.length("name") < 3, F.array("name")).otherwise(F.array_distinct(runs(F.col("name"), 3)))).alias("run"))
+    rare = parts.join(held, "run", "left").groupBy("name", "state_no").agg(F.min_by("run", F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("run"))).alias("run"))
+    inside = grams.join(rare, "run").where(F.contains("key", "name")).groupBy("label").agg(F.min("state_no").alias("state_no")).withColumn("how", F.lit("inside"))
     return exact.unionByName(inside)
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import cells, embedding
+from tessera.operators import cells, embedding, labels
 from tessera.plans import evidence_queries as evidence
 from tessera.plans import matrix_queries as matrix
 from tessera.plans import routing_queries as routing
@@ -110,3 +110,13 @@ def test_mixing_counts_thirty_neighbours(spark, sf):
     p = np.stack([np.bincount(lab[i], minlength=lab.max() + 1) / 30 for i in d.argsort(1, kind="stable")[:, :30]])
     want = (-(p * np.log(p + 1e-12)).sum(1) / np.log(lab.max() + 1)).mean()
     assert abs(evidence.ilisi(spark, sf).first().ilisi - want) < 1e-4
+
+
+def test_state_names_are_found_anywhere_in_a_label(spark):
+    names = ["exhausted X cell", "NK", "n", "memory", "", None]
+    texts = ["exhausted X cells, late", "pre-memory/NK", "(memory)", "xnkx", "abc", "N", "éNÉ", "unknown", "a  b"]
+    states = spark.createDataFrame([(i, x, ["alias b"] if i == 0 else None) for i, x in enumerate(names)], "state_no int, name string, aliases array<string>")
+    got = {r.label: r.state_no for r in labels.match_states(spark.createDataFrame([(t,) for t in texts], "label string"), states).collect()}
+    want = {t: min(i for i, x in enumerate(names) if x and x.lower() in t.lower()) for t in texts if t != "unknown" and any(x and x.lower() in t.lower() for x in names)}
+    want["N"] = 2
+    assert got == want
