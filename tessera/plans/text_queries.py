@@ -37,12 +37,12 @@ def hash_embed(s, d):
 
 def cosine_topk(s, d):
     q = r.hash_vectors(_questions(s), "query_id", "query")
-    return rounded(r.cosine_top(r.hash_vectors(_docs(s, d)), q).select("query_id", "id", "rank", "score"), "score")
+    return rounded(r.cosine_top(r.hash_vectors(_docs(s, d)), q, chunks=_docs(s, d), asked=_questions(s)).select("query_id", "id", "rank", "score"), "score")
 
 
 def rrf_fuse(s, d):
     docs, q = _docs(s, d), _questions(s)
-    f = r.rrf([r.bm25(docs, q), r.cosine_top(r.hash_vectors(docs), r.hash_vectors(q, "query_id", "query"))])
+    f = r.rrf([r.bm25(docs, q), r.cosine_top(r.hash_vectors(docs), r.hash_vectors(q, "query_id", "query"), chunks=docs, asked=q)])
     return f.select("query_id", "id", F.round("rrf", 7).alias("rrf"))
 
 
