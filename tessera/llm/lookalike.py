@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import materialize
+
 # Letters drawn like a Latin letter, as pairs of the letter and its Latin twin.
 CYRILLIC = "АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ЅS ІI ЈJ ԌG ԚQ ԜW аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw"
 GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo ϳj"
@@ -163,9 +165,9 @@ def unify(df: DataFrame, text: str = "text", into: str = "text") -> DataFrame:
 def same_look(df: DataFrame, id: str, field: str, text: str) -> DataFrame:
     """(a, b, field), a < b: rows whose texts in a field look the same but differ as strings.
 
-    Only digests of the raw and the unified text are shuffled. Classes with a single spelling are
-    dropped before any pair is made, and pairs are made between different spellings only, by a hash
-    join that adaptive execution splits where a class is large. Null and blank texts don't count.
+    Only digests of the raw and the unified text are shuffled, and written once as a table since
+    several steps read them. Pairs are made between the distinct spellings of a class, then the rows of
+    either spelling are joined, so rows spelled alike never meet. Null and blank texts don't count.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,8 +179,10 @@ def same_look(df: DataFrame, id: str, field: str, text: str) -> DataFrame:
     kinds = dict(df.dtypes)
     rows = df.where(F.col(text).rlike(r"\S")).select(F.col(id).alias("id"), F.col(field).alias("field"), F.col(text).alias("raw"))
     seen = rows.mapInArrow(run, f"id {kinds[id]}, field {kinds[field]}, raw string, one string").where(r"one rlike '\\S'")
-    digests = seen.select("id", "field", F.unhex(F.md5("raw")).alias("raw"), F.unhex(F.md5("one")).alias("one"))
-    several = digests.groupBy("field", "one").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("field", "one")
-    members = digests.join(several, ["field", "one"], "left_semi")
-    a, b = (members.select(F.col("id").alias(f"id_{s}"), "field", "one", F.col("raw").alias(f"raw_{s}")) for s in "ab")
-    return a.join(b, ["field", "one"]).where("id_a < id_b and raw_a <> raw_b").select("id_a", "id_b", "field").distinct()
+    digests = materialize(seen.select("id", "field", F.unhex(F.md5("raw")).alias("raw"), F.unhex(F.md5("one")).alias("one")), "digests")
+    spellings = digests.select("field", "one", "raw").distinct()
+    a, b = (spellings.select("field", "one", F.col("raw").alias(f"raw_{s}")) for s in "ab")
+    pairs = a.join(b, ["field", "one"]).where("raw_a < raw_b").select("field", "raw_a", "raw_b")
+    members = lambda s: digests.select("field", F.col("raw").alias(f"raw_{s}"), F.col("id").alias(f"id_{s}"))
+    met = pairs.join(members("a"), ["field", "raw_a"]).join(members("b"), ["field", "raw_b"]).where("id_a <> id_b")
+    return met.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "field").distinct()
