@@ -1,9 +1,16 @@
 """Cutting oversized texts at natural boundaries.
 
 Dynamic programming over boundary positions: a cut after a paragraph costs nothing, after a
-sentence, a line, a word or amid a word ever more, and pieces away from the balanced length cost the
-square of their deviation. The cheapest chain of cuts keeps every piece at or under the limit, and
-each next piece begins exactly ``overlap`` characters before the last one's end.
+sentence a little, and pieces away from the balanced length cost the square of their deviation. Line
+ends, word ends, characters and places amid a character and its marks are ever worse kinds, and a
+worse kind may be cut only where the better ones leave a gap wider than a piece can be; there all of
+its places are candidates, and its cost makes the fewest of such cuts cheapest. So every admissible
+chain of cuts is weighed, no more positions than can matter are looked at, and there is always a
+chain: every piece keeps the limit, and each next piece begins exactly ``overlap`` characters before
+the last one's end.
+
+In a gap without any blank of more than ``DENSE`` characters every few characters are a candidate
+(never more than a sixteenth of a piece apart), as they differ in the balance alone.
 
 Defined results: null, empty and short texts (up to the limit) give no pieces with
 ``only_oversized``, else one piece; the pieces, less their overlaps, give the text back exactly;
@@ -21,62 +28,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("paragraph", "sentence", "line", "word", "character", "end")
-_COST = (0.0, 0.15, 0.5, 1.0, 4.0, 0.0)
+KINDS = ("paragraph", "sentence", "line", "word", "character", "amid", "end")
+_COST = (0.0, 0.15, 8.0, 400.0, 2e4, 1e6, 0.0)
+DENSE = 4096
 _natural = re.compile(r"\n[ \t\r]*\n\s*|[.!?。！？][\"')\]”’»]*(?:\s+|(?<=[。！？]))").finditer
 _line = re.compile(r"\n").finditer
 _blank = re.compile(r"\s+").finditer
 
 
-def boundaries(text: str, reach: int) -> tuple[list[int], list[int]]:
-    """Positions and kinds of possible cuts. Paragraph and sentence ends throughout; lines, then
-    words, then any character only in gaps wider than ``reach`` / 4, as deep as the gap needs."""
-    n, step = len(text), max(1, reach // 4)
-    at = {m.end(): (0 if "\n" in m[0] and m[0].count("\n") > 1 else 1) for m in _natural(text)}
-    for kind, find in ((2, _line), (3, _blank), (4, None)):
-        known = [0, *sorted(p for p in at if 0 < p < n), n]
+def _joined(c: str) -> bool:
+    """Whether a character belongs to the one before it: marks, joiners, variation selectors."""
+    return unicodedata.combining(c) != 0 or unicodedata.category(c) in ("Mn", "Me", "Mc") or c == "\u200d"
+
+
+def boundaries(text: str, reach: int, start: int = 0) -> tuple[list[int], list[int]]:
+    """Positions after ``start`` and kinds of admissible cuts; the last is the text's end. No two
+    neighbours are more than ``reach`` apart."""
+    n = len(text)
+    at = {m.end(): (0 if m[0].count("\n") > 1 else 1) for m in _natural(text) if start < m.end() < n}
+    for kind in range(2, 6):
+        known = [start, *sorted(at), n]
         for a, b in zip(known, known[1:]):
-            if b - a <= step:
-                continue
-            if find is None:
-                for p in range(a + step, b, step):
-                    while p > a + 1 and unicodedata.combining(text[p]):
-                        p -= 1
-                    at.setdefault(p, kind)
+            if b - a <= reach:
                 continue
-            last = a
-            for m in find(text, a, b):
-                p = m.end()
-                if p < b and p - last >= step // 8:
+            if kind < 4:
+                found = (m.end() for m in (_line, _blank)[kind - 2](text, a, b))
+            else:
+                step = min(max(1, (b - a) // DENSE), max(1, reach // 16))
+                found = range(a + step, b, step)
+                if kind == 4:
+                    found = (p for p in found if not _joined(text[p]))
+            for p in found:
+                if a < p < b:
                     at.setdefault(p, kind)
-                    last = p
-    where = sorted(p for p in at if 0 < p < n)
-    return [*where, n], [*(at[p] for p in where), 5]
+    where = sorted(at)
+    return [*where, n], [*(at[p] for p in where), 6]
 
 
 def cuts(text: str, limit: int = 2000, overlap: int = 150) -> list[tuple[int, int, str]]:
     """(start, end, kind of the cut at the end) of each piece."""
     n = len(text)
-    if n <= limit:
-        return [(0, n, "end")] if n else []
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be smaller than the limit")
+    if n <= limit:
+        return [(0, n, "end")] if n else []
     reach = limit - overlap
     pieces = -(-(n - overlap) // reach)
     goal = (n - overlap) / pieces
-    pos, kinds = zip(*((p, k) for p, k in zip(*boundaries(text, reach)) if p > overlap))
+    pos, kinds = boundaries(text, reach, overlap)
     p = np.array([overlap, *pos], np.float64)  # a first, virtual cut: the first piece begins at 0
-    pay = np.array([0.0, *(_COST[k] for k in kinds)])
-    best, back = np.full(len(p), np.inf), np.zeros(len(p), np.int64)
-    best[0] = 0.0
-    lows = np.searchsorted(p, p - reach, "left")
+    pay = np.array([0.0, *(_COST[k] for k in kinds)]) + 0.05
+    best, back = np.zeros(len(p)), np.zeros(len(p), np.int64)
+    lows = np.searchsorted(p, p - reach, "left").tolist()
     for j in range(1, len(p)):
         lo = lows[j]
-        if lo >= j:
-            continue
         cost = best[lo:j] + np.square((p[j] - p[lo:j]) / goal - 1.0)
         k = int(cost.argmin())
-        best[j], back[j] = cost[k] + pay[j] + 0.05, lo + k
+        best[j], back[j] = cost[k] + pay[j], lo + k
     out, j = [], len(p) - 1
     while j:
         i = int(back[j])
