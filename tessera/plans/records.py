@@ -7,18 +7,21 @@ from pyspark.sql import functions as F
 
 from tessera.functions.ids import term_number
 from tessera.operators.hierarchy import current_terms, descendants, hierarchy
-from tessera.operators.orphans import Advance, find_orphans, parent_versions, references
+from tessera.operators.orphans import Advance, advance, empty_state, find_orphans, parent_versions, references
 from tessera.session import materialize, table
 
 
-def _orphans(spark: SparkSession, d: str) -> Advance:
-    cl = table(spark, d, "cl_subset")
+def _rows(cl: DataFrame, marks: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
     parents = parent_versions(cl, term_number("id"), "recorded_at", "row_id", "obsolete")
     refs = {
         "cl_subset": references(cl, "cl_subset", term_number("parent"), "recorded_at", "row_id"),
-        "marker_catalog": references(table(spark, d, "marker_catalog"), "marker_catalog", term_number("cl_id"), "recorded_at", "row_id"),
+        "marker_catalog": references(marks, "marker_catalog", term_number("cl_id"), "recorded_at", "row_id"),
     }
-    return find_orphans(parents, refs)
+    return parents, refs
+
+
+def _orphans(spark: SparkSession, d: str) -> Advance:
+    return find_orphans(*_rows(table(spark, d, "cl_subset"), table(spark, d, "marker_catalog")))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -29,6 +32,24 @@ def p1_counts(spark: SparkSession, d: str) -> DataFrame:
     return _orphans(spark, d).snapshots()
 
 
+def p1_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """The cases of ``p1_found`` from three deliveries that cut the rows across all times, so each
+    brings late parents, late deletions and late references to the ones before."""
+    cl, marks = table(spark, d, "cl_subset"), table(spark, d, "marker_catalog")
+    state, signed = empty_state(spark), None
+    for no in range(3):
+        now = lambda df: df.where(F.pmod("row_id", F.lit(3)) == no)  # noqa: B023, E731
+        parents, refs = _rows(now(cl), now(marks))
+        done = advance(state, parents, refs["cl_subset"].unionByName(refs["marker_catalog"]), list(refs))
+        cols = ["ref_table", "key", "ts", "row_id"]
+        for rows, n in ((done.orphans, 1), (done.retracted, -1)):
+            rows = materialize(rows.select(*cols, F.lit(n).alias("n")), "orphans")
+            signed = rows if signed is None else signed.unionByName(rows)
+        state = done.state.saved()
+    left = signed.groupBy("ref_table", "key", "ts", "row_id").agg(F.sum("n").alias("n")).where("n > 0")
+    return left.select("ref_table", F.date_format("ts", "yyyy-MM").alias("period"), "row_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     full = hierarchy(current_terms(table(spark, d, "cl_subset")), paths=False)
     return full.where("cycle is not null").select(F.col("id").alias("term_no"), F.col("cycle").alias("cycle_no"))
@@ -43,7 +64,7 @@ def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
     return descendants(hierarchy(current_terms(table(spark, d, "cl_subset"))))
 
 
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p4_found": p4_found, "p4_hierarchy": p4_hierarchy, "p4_descendants": p4_descendants}
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p1_incremental": p1_incremental, "p4_found": p4_found, "p4_hierarchy": p4_hierarchy, "p4_descendants": p4_descendants}
 
 _NO = "try_cast(nullif(regexp_extract({0}, '([0-9]+)', 1), '') as bigint)"
 _REFS = f"""v as (select {_NO.format('id')} as k, recorded_at as ts, row_id, coalesce(obsolete, false) as obs from cl_subset),
@@ -88,3 +109,4 @@ SQL = {
  u as (select id, unnest(path) as a, generate_subscripts(path, 1) as i, len(path) as n from f)
  select a as ancestor, id as descendant, (n - i)::bigint as distance from u where a <> id""",
 }
+SQL["p1_incremental"] = SQL["p1_found"]

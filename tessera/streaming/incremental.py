@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.operators.orphans import STATE, advance, empty_state
+from tessera.operators.orphans import COUNTED, REFERENCES, VERSIONS, State, advance, empty_state
 from tessera.operators.retrieval import chunk_fixed
 
 
@@ -25,30 +23,21 @@ def index_stream(docs: DataFrame, path: str, checkpoint: str, size: int = 900, o
 
 
 def orphan_stream(events: DataFrame, folder: str, checkpoint: str, ref_tables: list[str]) -> StreamingQuery:
-    """``events(kind, ref_table, key, ts, row_id, deleted)`` of parents and references, in the order of
-    time from batch to batch. The state of batch n is a table of its own, named by n, so a repeated
-    batch starts from the same state; orphans go to ``folder``/orphans, the batch's counts per table and
-    period to ``folder``/snapshots."""
+    """``events(kind, ref_table, key, ts, row_id, deleted)`` of parents and references, late rows
+    included. Each batch appends its own rows, orphans, retractions, counts and snapshots as
+    ``folder``/<name>/batch=n; a repeated batch reads the batches before it and overwrites its own."""
 
     def step(batch: DataFrame, no: int) -> None:
         spark = batch.sparkSession
-        state = spark.read.schema(STATE).parquet(f"{folder}/state/{no - 1}") if no else empty_state(spark)
-        parents = batch.where("kind = 'parent' and key is not null").groupBy("key", "ts").agg(F.max("row_id").alias("seq"), F.max_by(~F.coalesce("deleted", F.lit(False)), "row_id").alias("alive"))
-        refs = batch.where("kind = 'reference' and key is not null").select("ref_table", "key", "ts", "row_id")
+        kept = lambda name, schema: spark.read.schema(f"{schema}, batch int").parquet(f"{folder}/{name}").where(F.col("batch") < no).drop("batch")
+        state = State(kept("versions", VERSIONS), kept("refs", REFERENCES), kept("counts", COUNTED)) if no else empty_state(spark)
+        rows = batch.where("key is not null").persist()
+        parents = rows.where("kind = 'parent'").groupBy("key", "ts").agg(F.max("row_id").alias("seq"), F.max_by(~F.coalesce("deleted", F.lit(False)), "row_id").alias("alive"))
+        refs = rows.where("kind = 'reference'").select("ref_table", "key", "ts", "row_id")
         done = advance(state, parents, refs, ref_tables)
-        done.orphans.write.mode("overwrite").parquet(f"{folder}/orphans/batch={no}")
-        done.snapshots().write.mode("overwrite").parquet(f"{folder}/snapshots/batch={no}")
-        done.state.write.mode("overwrite").parquet(f"{folder}/state/{no}")
+        out = {"versions": parents, "refs": refs, "orphans": done.orphans, "retracted": done.retracted, "counts": done.counts(), "snapshots": done.snapshots()}
+        for name, df in out.items():
+            df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={no}")
+        rows.unpersist()
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    from tessera.session import shared_dir
-
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def late(ts: Column, watermark: Column) -> Column:
-    """Whether a row comes behind the time its batch may begin at."""
-    return ts < watermark

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from tessera.functions.ids import term_number
-from tessera.operators.orphans import advance, empty_state, find_orphans, parent_versions, references
+from tessera.operators.orphans import advance, empty_state, find_orphans, parent_versions, references, totals
 
 T0 = datetime(2024, 1, 1)
 P, R = "id string, recorded_at timestamp, row_id bigint, obsolete boolean, key string", "cl_id string, recorded_at timestamp, row_id bigint, key string"
@@ -58,7 +58,7 @@ def test_batches_give_what_one_batch_gives(spark):
         step = advance(state, p.where((F.col("ts") >= a) & (F.col("ts") < b)), r.where((F.col("ts") >= a) & (F.col("ts") < b)), ["m"])
         orphans += [x.row_id for x in step.orphans.collect()]
         snaps += [(x.period, x.n_refs, x.n_orphans, x.n_resolved, x.n_reopened) for x in step.snapshots().collect()]
-        state = spark.createDataFrame(step.state.collect(), step.state.schema)
+        state = step.state.saved()
     assert sorted(orphans) == sorted(x.row_id for x in whole.orphans.collect())
     assert sorted(snaps) == sorted((x.period, x.n_refs, x.n_orphans, x.n_resolved, x.n_reopened) for x in whole.snapshots().collect())
 
@@ -80,7 +80,7 @@ def test_ties_and_same_moment(spark):
 def test_empty_tables(spark):
     p, r = frames(spark, [], [])
     done = find_orphans(p, {"m": r})
-    assert done.orphans.count() == 0 and done.snapshots().count() == 0 and done.state.count() == 0
+    assert done.orphans.count() == 0 and done.snapshots().count() == 0 and done.state.versions.count() == 0 and done.state.refs.count() == 0
     p, r = frames(spark, [], [("CL:3", T0, 1, ""), (None, T0, 2, "")])
     assert [x.row_id for x in find_orphans(p, {"m": r}).orphans.collect()] == [1]
 
@@ -108,7 +108,7 @@ def test_open_references_continue_over_batches(spark):
         a, b = (F.lit(T0 + timedelta(days=x)) for x in (lo, hi))
         step = advance(state, p.where((F.col("ts") >= a) & (F.col("ts") < b)), r.where((F.col("ts") >= a) & (F.col("ts") < b)), ["m"])
         snaps += [(x.period, x.n_open) for x in step.snapshots().collect()]
-        state = spark.createDataFrame(step.state.collect(), step.state.schema)
+        state = step.state.saved()
     assert sorted(snaps) == sorted((x.period, x.n_open) for x in find_orphans(p, {"m": r}).snapshots().collect())
 
 
@@ -121,3 +121,36 @@ def test_stream_writes_snapshots(spark, tmp_path):
         orphan_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "src")), str(tmp_path / "out"), str(tmp_path / "cp"), ["m"]).awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out/snapshots").collect()
     assert sorted((x.period, x.n_orphans, x.n_resolved, x.n_open) for x in got) == [("2024-01", 3, 0, 3), ("2024-02", 0, 3, 0)]
+
+
+def test_any_split_in_any_order_gives_what_one_batch_gives(spark):
+    parents, refs = made(7, 150)
+    p, r = frames(spark, parents, refs)
+    whole = find_orphans(p, {"m": r})
+    want, snaps = sorted(x.row_id for x in whole.orphans.collect()), sorted(map(tuple, whole.snapshots().collect()))
+    for n, seed in ((3, 2),):
+        part = lambda df, i: df.where(F.pmod(F.xxhash64("key", "ts", df.columns[-1], F.lit(seed)), F.lit(n)) == i)  # noqa: B023, E731
+        state, got = empty_state(spark), []
+        for i in range(n):
+            step = advance(state, part(p, i), part(r, i), ["m"])
+            got += [x.row_id for x in step.orphans.collect()]
+            for x in step.retracted.collect():
+                got.remove(x.row_id)
+            state = step.state.saved()
+        assert sorted(got) == want
+        assert sorted(map(tuple, totals(state.counts).collect())) == snaps
+
+
+def test_late_rows(spark):
+    day = lambda n: T0 + timedelta(days=n)
+    p1, _ = frames(spark, [("1", day(5), 1, False, "")], [])
+    _, r2 = frames(spark, [], [("1", day(0), 10, "")])
+    first = advance(empty_state(spark), p1, r2.limit(0), ["m"])
+    second = advance(first.state, p1.limit(0), r2, ["m"])
+    assert [x.row_id for x in second.orphans.collect()] == [10]  # a reference from before its parent comes late
+    p3, _ = frames(spark, [("1", day(-1), 2, False, "")], [])
+    third = advance(second.state, p3, r2.limit(0), ["m"])
+    assert third.orphans.count() == 0 and [x.row_id for x in third.retracted.collect()] == [10]
+    p4, _ = frames(spark, [("1", day(-1), 3, True, "")], [])  # the same moment, a larger number
+    fourth = advance(third.state, p4, r2.limit(0), ["m"])
+    assert [(x.row_id, x.reason) for x in fourth.orphans.collect()] == [(10, "deleted")]
