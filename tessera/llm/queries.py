@@ -55,6 +55,14 @@ def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return mapped.where("canon_id = 0").groupBy("src_field", "value").agg(F.count("*").alias("n_rows"))
 
 
+def p5_similar(spark: SparkSession, d: str) -> DataFrame:
+    """The similarity join by itself: plain words of the typed values against those of the list."""
+    plain = lambda df: df.select(F.explode(F.regexp_extract_all(F.lower("value"), F.lit("([a-z]+)"), F.lit(1))).alias("w")).distinct()
+    listed = table(spark, d, "cell_type_list").select(F.col("canon_name").alias("value"))
+    met = canonical.candidates(plain(_typed(spark, d).where("value is not null")).withColumnRenamed("w", "form"), plain(listed).withColumnRenamed("w", "stem"), 0.4)
+    return met.select("form", "stem", F.round("jaccard", 6).alias("jaccard"))
+
+
 def _titles_and_texts(spark: SparkSession, d: str) -> DataFrame:
     titles = table(spark, d, "parsed_papers").select("paper_id", F.lit("title").alias("field"), F.col("title").alias("text"))
     return titles.unionByName(paper_texts(spark, d))
@@ -98,7 +106,7 @@ def p9_repeated(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_unmatched": p5_unmatched,
+    "p2_found": p2_found, "p2_repaired": p2_repaired, "p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p5_similar": p5_similar,
     "p6_found": p6_found, "p6_unified": p6_unified, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill,
     "p9_found": p9_found, "p9_spans": p9_spans, "p9_share": p9_share, "p9_repeated": p9_repeated,
 }
@@ -106,6 +114,13 @@ QUERIES = {
 _TEXTS = """select paper_id, unnest(map_keys(sections)) as field, unnest(map_values(sections)) as text from parsed_papers
  union all select paper_id, 'markdown', markdown from parsed_papers"""
 
+_TYPED = """select unnest(aliases) as value from cell_states union all select unnest(synonyms) from cl_subset union all select name from cl_subset"""
+_PAIRS = "list_distinct([substr('^' || w || '$', i, 2) for i in range(1, length(w) + 2)])"
+
 SQL = {
+    "p5_similar": f"""with f as (select w as form, {_PAIRS} as t from (select distinct unnest(regexp_extract_all(lower(value), '[a-z]+')) as w from ({_TYPED}) where value is not null)),
+ s as (select w as stem, {_PAIRS} as t from (select distinct unnest(regexp_extract_all(lower(canon_name), '[a-z]+')) as w from cell_type_list)),
+ j as (select form, stem, len(list_intersect(f.t, s.t))::double as b, len(f.t) + len(s.t) as n from f, s)
+ select form, stem, round(b / (n - b), 6) as jaccard from j where b / (n - b) >= 0.4""",
     "p3_found": f"select paper_id, field from ({_TEXTS}) where length(text) > 2000",
 }
