@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import materialize
+from tessera.session import discard, materialize
 
 SPAN = 200  # characters of the shortest span that counts
 _B = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
@@ -177,12 +177,24 @@ class Shared:
         by = ["h", "x", "digest"]
         return rows.join(rows.groupBy(by).agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select(by), by, "left_semi")
 
-    def pairs(self) -> DataFrame:
-        """(a, b), a < b: records whose texts share a span, copies included. Its size is the result's."""
+    def links(self) -> DataFrame:
+        """(key_a, key_b), key_a < key_b: first records of different texts that share a span. With
+        ``members`` it says all that :meth:`pairs` says, without a row for every pair of copies."""
         cold, hot = self._split()
         h = self._hot(hot)
         a, b = (h.select("h", "x", "digest", F.col("key").alias(f"key_{s}")) for s in "ab")
-        reps = self._cold(cold).select("key_a", "key_b").unionByName(a.join(b, ["h", "x", "digest"]).where("key_a < key_b").select("key_a", "key_b")).distinct()
+        return self._cold(cold).select("key_a", "key_b").unionByName(a.join(b, ["h", "x", "digest"]).where("key_a < key_b").select("key_a", "key_b")).distinct()
+
+    def linked(self) -> DataFrame:
+        """(key, rep, copies, n_linked): of each record the first with its text, how many have that
+        text, and with how many different texts it shares a span."""
+        links = self.links()
+        ends = links.select(F.col("key_a").alias("rep")).unionByName(links.select(F.col("key_b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_linked"))
+        return self.members.join(ends, "rep", "left").select("key", "rep", "copies", F.coalesce("n_linked", F.lit(0).cast("bigint")).alias("n_linked"))
+
+    def pairs(self) -> DataFrame:
+        """(a, b), a < b: records whose texts share a span, copies included. Its size is the result's."""
+        reps = self.links()
         ma, mb = (self.members.select(F.col("rep").alias(f"key_{s}"), F.col("key").alias(s)) for s in "ab")
         across = reps.join(ma, "key_a").join(mb, "key_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         many = self.members.where("copies > 1")
@@ -213,6 +225,7 @@ def shared(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = S
     several = prints.groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("h")
     wanted = prints.join(several, "h", "left_semi").join(members.where("key = rep").select("key"), "key", "left_semi")
     contexts = materialize(_contexts(docs, wanted.groupBy("key").agg(F.collect_set("h").alias("units")), span), "contexts")
+    discard(prints)  # nothing reads them again
     return Shared(members, contexts, span, hot)
 
 
