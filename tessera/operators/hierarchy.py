@@ -46,12 +46,14 @@ def hierarchy(nodes: DataFrame, paths: bool = True, max_rounds: int = 200) -> Da
     )
     if not paths:
         live = live.drop("via")
-    start = live = materialize(live, "tree")
-    rounds: list[DataFrame] = []
+    # How many are left to contract is counted as they are written, so a round is one job.
+    start = live = materialize(live, "tree", F.count_if(F.col("up") != F.col("id")))
+    left, rounds = start._tessera_measure, []
     for _ in range(max_rounds):
-        if live.where("up <> id").isEmpty():
+        if not left:
             break
-        now = materialize(_contract(live, paths), "tree")
+        now = materialize(_contract(live, paths), "tree", F.count_if((F.col("fate") == "live") & (F.col("up") != F.col("id"))))
+        left = now._tessera_measure
         rounds.append(now)
         live = now.where("fate = 'live'").drop("fate", "kid", "kid_inner")
     else:

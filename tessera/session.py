@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 _own: set[str] = set()
@@ -38,16 +38,46 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one. It goes when the driver ends in good order,
+    else by :func:`cleanup` or whoever finds it by the application's id."""
+    folder = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
+    if folder not in _own:
+        _own.add(folder)
+        atexit.register(_quietly, spark, folder)
+    return folder
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def _quietly(spark: SparkSession, path: str) -> None:
+    try:
+        _delete(spark, path)
+    except Exception:  # the session is gone already
+        pass
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete every table this application has materialised; for the end of a run."""
+    _delete(spark, run_dir(spark))
+
+
+def materialize(df: DataFrame, name: str = "t", measure: Column | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back. ``measure`` is an aggregate that is
+    worked out on the way; its value is the result's ``_tessera_measure``.
 
     It cuts the lineage like a reliable checkpoint, runs the plan once, stays columnar and
     compressed, and survives the loss of any executor.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    seen = Observation() if measure is not None else None
+    (df if seen is None else df.observe(seen, measure.alias("m"))).write.parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._tessera_path = path
+    back._tessera_measure = None if seen is None else seen.get["m"]
     return back
 
 
@@ -55,9 +85,7 @@ def discard(df: DataFrame) -> None:
     """Delete what :func:`materialize` wrote; only for frames that nothing will read again."""
     path = getattr(df, "_tessera_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        _delete(df.sparkSession, path)
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
