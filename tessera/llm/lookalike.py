@@ -1,11 +1,15 @@
 """One form for texts that look the same.
 
-A transducer is compiled from rules over grapheme clusters: widths, composed accents, blanks,
-invisible characters and letters of other scripts that are drawn alike. Compiling checks that no two
-rules give one sequence different outputs and that no output holds anything a rule would change
-again, so one pass is enough and a second pass changes nothing. At each place the longest sequence
-that has a rule is taken. Runs of ordinary characters pass untouched: only runs of other characters
-reach the transducer, and each distinct run is worked out once per worker.
+A transducer is compiled from rules over grapheme clusters: a letter and its marks to the composed
+letter, also where the letter is another script's twin; conjoining jamo to syllables; half-width kana
+and their sound marks; widths, ligatures and letters of mathematics; blanks; invisible characters;
+letters of other scripts that are drawn alike. Most rules are made from the character database, only
+the twins of letters are listed. Compiling checks that no two rules give one sequence different
+outputs and that no output holds anything a rule would change again, so one pass is enough and a
+second pass changes nothing. At each place the longest sequence that has a rule is taken, so a
+letter's twin with marks becomes the composed letter and not the bare twin with marks behind it.
+Marks are met in canonical order. Runs of ordinary characters pass untouched: only runs of other
+characters reach the transducer, and each distinct run is worked out once per worker.
 
 Kept apart, as they can be told apart by eye: case, accents, digits, punctuation, line breaks, and
 the number of blanks.
@@ -17,6 +21,7 @@ stay as they are.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -30,50 +35,82 @@ from tessera.session import materialize
 CYRILLIC = "АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ЅS ІI ЈJ ԌG ԚQ ԜW аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw"
 GREEK = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo ϳj"
 ARMENIAN = "օo սu"
-# Characters that are drawn like another one or like several.
-TWINS = {"\u00b5": "\u03bc", "\u2126": "\u03a9", "\u212a": "K", "\u212b": "\u00c5", "\u2010": "-", "\u2011": "-"}
+LISU = "ꓐB ꓑP ꓓD ꓔT ꓖG ꓗK ꓙJ ꓚC ꓜZ ꓝF ꓟM ꓠN ꓡL ꓢS ꓣR ꓦV ꓧH ꓪW ꓫX ꓬY ꓮA ꓰE ꓲI ꓳO ꓴU"
+CHEROKEE = "ᎠD ᎡR ᎢT ᎪA ᎫJ ᎬE ᎳW ᎷM ᎻH ᎽY ᏀG ᏃZ ᏙV ᏚS ᏞL ᏟC ᏢP ᏦK ᏴB"
+# Characters that are drawn like another one.
+TWINS = {"\u00b5": "\u03bc", "\u2010": "-", "\u2011": "-"}
 INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad\u180e\u2061\u2062\u2063\u2064\u061c\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069"
 BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+# Ranges whose compatible forms look the same: full and half widths, Latin ligatures,
+# Roman numerals, digraphs, letters of mathematics.
+WIDTHS, KANA = range(0xFF01, 0xFFEF), range(0xFF66, 0xFF9E)
+LIKE = [WIDTHS, range(0xFB00, 0xFB07), range(0x2160, 0x2180), range(0x132, 0x134), range(0x1C4, 0x1CD), range(0x1F1, 0x1F4), range(0x1D400, 0x1D800)]
+SOUND = {"\uff9e": "\u3099", "\uff9f": "\u309a"}
 
 
 def rules(keep: str = "") -> list[tuple[str, str]]:
     """The mapping as (sequence, output) pairs; characters in ``keep`` get no rule."""
-    out: list[tuple[str, str]] = [(pair[0], pair[1]) for group in (CYRILLIC, GREEK, ARMENIAN) for pair in group.split()]
-    out += list(TWINS.items())
-    out += [(c, "") for c in INVISIBLE] + [(c, "") for c in map(chr, range(0xFE00, 0xFE10))]
-    out += [(c, " ") for c in BLANKS]
-    for code in [*range(0xFF01, 0xFFEF), *range(0xFB00, 0xFB07), *range(0x2160, 0x2180)]:
-        c = chr(code)
-        if (wide := unicodedata.normalize("NFKC", c)) != c:
-            out.append((c, wide))
-    return [(a, b) for a, b in out if a not in keep]
+    single: dict[str, str] = {pair[0]: pair[1] for group in (CYRILLIC, GREEK, ARMENIAN, LISU, CHEROKEE) for pair in group.split()}
+    single |= TWINS | {c: "" for c in INVISIBLE} | {chr(c): "" for c in range(0xFE00, 0xFE10)} | {c: " " for c in BLANKS}
+    for c in (chr(code) for part in LIKE for code in part):
+        if (plain := unicodedata.normalize("NFKC", c)) != c and c not in single:
+            single[c] = plain
+    single = {a: b for a, b in single.items() if a not in keep}
+    out = list(single.items())
+    # Half-width kana with their sound marks are one letter.
+    for c in map(chr, KANA):
+        for mark, joined in SOUND.items():
+            if len(both := unicodedata.normalize("NFC", unicodedata.normalize("NFKC", c) + joined)) == 1:
+                out.append((c + mark, both))
+    # A letter and its marks, the letter itself or any twin of it, and syllables from their parts.
+    twins: dict[str, list[str]] = {}
+    for a, b in single.items():
+        if len(a) == len(b) == 1 and b != " ":
+            twins.setdefault(b, []).append(a)
+    for c in _composed():
+        apart = unicodedata.normalize("NFD", c)
+        one = unicodedata.normalize("NFC", single.get(apart[0], apart[0]) + apart[1:])
+        out += [(a + apart[1:], one) for a in [apart[0], *twins.get(apart[0], ())] if len(apart) > 1]
+    return out
+
+
+def _composed() -> list[str]:
+    """Every character that stands for a sequence of a letter and marks or of jamo."""
+    return [c for c in map(chr, range(0xC0, 0x30000)) if not 0xD800 <= ord(c) < 0xE000 and unicodedata.normalize("NFD", c) != c and unicodedata.normalize("NFC", c) == c]
 
 
 class Transducer:
-    """Longest-match rewriting by a trie; ``compose`` joins a letter with the marks that follow."""
+    """Longest-match rewriting by a trie over runs in canonical order."""
 
     def __init__(self, pairs: Iterable[tuple[str, str]]) -> None:
-        single: dict[str, str] = {}
+        known: dict[str, str] = {}
         for a, b in pairs:
-            if not a or single.setdefault(a, b) != b:
+            if not a or known.setdefault(a, b) != b:
                 raise ValueError(f"two outputs for {a!r}")
-        # Outputs go through the other rules until they are stable; a circle is a conflict.
-        for a in single:
-            seen, b = {a}, single[a]
-            while (c := unicodedata.normalize("NFC", "".join(single.get(x, x) for x in b))) != b:
-                if c in seen:
-                    raise ValueError(f"rules for {a!r} go in a circle")
-                seen.add(c)
-                b = c
-            single[a] = b
+        self.hidden = re.compile("[" + re.escape("".join(a for a, b in known.items() if len(a) == 1 and not b)) + "]") if "" in known.values() else re.compile("(?!)")
         self.root: dict = {}
-        for a, b in single.items():
+        for a, b in known.items():
             node = self.root
-            for c in a:
+            for c in unicodedata.normalize("NFD", a):
                 node = node.setdefault(c, {})
             node[""] = b
-        for b in single.values():
-            if self._walk(b) != b:
+        # Outputs go through the rules until they are stable; a circle is a conflict.
+        final = {}
+        for a, b in known.items():
+            seen = {a}
+            while (c := self._run(b)) != b:
+                if c in seen or b in seen:
+                    raise ValueError(f"rules for {a!r} go in a circle")
+                seen.add(b)
+                b = c
+            final[a] = b
+        for a, b in final.items():
+            node = self.root
+            for c in unicodedata.normalize("NFD", a):
+                node = node[c]
+            node[""] = b
+        for b in set(final.values()):
+            if self._run(b) != b:
                 raise ValueError(f"the output {b!r} would be changed again")
         self.runs: dict[str, str] = {}
 
@@ -93,6 +130,11 @@ class Transducer:
                 i = end
         return "".join(out)
 
+    def _run(self, run: str) -> str:
+        """A run without what is invisible, its marks in order, rewritten. Marks that would compose
+        past another mark have no rule; the last step joins them."""
+        return unicodedata.normalize("NFC", self._walk(unicodedata.normalize("NFD", self.hidden.sub("", run))))
+
     def __call__(self, text: str) -> str:
         if text.isascii():
             return text.replace("\t", " ")
@@ -102,42 +144,32 @@ class Transducer:
             run = m[0]
             done = runs.get(run)
             if done is None:
-                done = unicodedata.normalize("NFC", self._walk(run))
+                done = self._run(run)
                 if len(run) < 40:
                     if len(runs) > 200_000:
                         runs.clear()
                     runs[run] = done
-            a = m.start()
-            if done and unicodedata.combining(done[0]):  # it belongs to the letter before, however far
-                out.append(text[last:a])
-                done, last = _compose(out) + done, m.end()
-                out.append(unicodedata.normalize("NFC", done))
-                continue
-            out.append(text[last:a])
+            out.append(text[last : m.start()])
             out.append(done)
             last = m.end()
         out.append(text[last:])
         return "".join(out)
 
 
-def _compose(out: list[str]) -> str:
-    """Take the last cluster (a letter and marks already joined to it) off what is written."""
-    got = ""
-    while out:
-        s = out.pop()
-        if not s:
-            continue
-        i = len(s) - 1
-        while i > 0 and unicodedata.combining(s[i]):
-            i -= 1
-        out.append(s[:i])
-        got = s[i:] + got
-        if not unicodedata.combining(s[i]):
-            break
-    return got
-
-
-_other = re.compile("[\t\x80-\U0010ffff]+").finditer
+def _class(codes: Iterable[int]) -> str:
+    """A character class of many characters, by ranges."""
+    parts: list[list[int]] = []
+    for c in codes:
+        if parts and parts[-1][1] == c - 1:
+            parts[-1][1] = c
+        else:
+            parts.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in parts)
+
+
+# A run takes in the ASCII letter before it if it begins with a mark or with something invisible.
+_after = _class(c for c in range(0x80, sys.maxunicode + 1) if (ch := chr(c)) in INVISIBLE or 0xFE00 <= c < 0xFE10 or unicodedata.category(ch) in ("Mn", "Me", "Mc"))
+_other = re.compile(f"[\x00-\x7f]?(?=[{_after}])[\t\x80-\U0010ffff]+|[\t\x80-\U0010ffff]+").finditer
 _made: dict[str, Transducer] = {}
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -186,3 +188,29 @@ SQL |= {
  q as (select doc_id, start::bigint as start, (start + length(line))::bigint as "end", u, first_value(doc_id) over w as kd, first_value(start) over w as ks, count(*) over (partition by u) as n from p where length(line) >= 200 and length(u) >= 200 window w as (partition by u order by doc_id, start))
  select doc_id, start, "end", kd as kept_doc_id, ks::bigint as kept_start from q where n > 1 and (doc_id, start) <> (kd, ks)""",
 }
+
+
+def _one_form_sql(text: str) -> str:
+    """The one form in SQL: composed, then a character by a character, then those that become several."""
+    single = {a: b for a, b in lookalike.rules() if len(a) == 1} | {"\t": " "}
+    for c in lookalike._composed():  # a twin's composed letters
+        apart = unicodedata.normalize("NFD", c)
+        if (one := unicodedata.normalize("NFC", single.get(apart[0], apart[0]) + apart[1:])) != c and len(apart) > 1:
+            single[c] = one
+    single |= {"\u212a": "K", "\u212b": "\u00c5", "\u2126": "\u03a9"}
+    one_to_one = {a: b for a, b in single.items() if len(b) == 1}
+    gone = "".join(a for a, b in single.items() if not b)
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    out = f"translate(nfc_normalize({text}), {quoted(''.join(one_to_one) + gone)}, {quoted(''.join(one_to_one.values()))})"
+    for a, b in single.items():
+        if len(b) > 1:
+            out = f"replace({out}, {quoted(a)}, {quoted(b)})"
+    return f"nfc_normalize({out})"
+
+
+_LOOKS = "select paper_id, 'title' as field, title as text from parsed_papers union all select paper_id, unnest(map_keys(sections)), unnest(map_values(sections)) from parsed_papers"
+SQL |= {
+    "p6_unified": f"select paper_id, field, {_one_form_sql('text')} as text from ({_LOOKS})",
+    "p6_found": f"""with o as (select paper_id, field, text, {_one_form_sql('text')} as one from ({_LOOKS})), k as (select * from o where regexp_matches(one, '\\S'))
+ select distinct a.paper_id as paper_id_a, b.paper_id as paper_id_b, a.field from k a join k b on a.field = b.field and a.one = b.one where a.text <> b.text and a.paper_id < b.paper_id""",
+}

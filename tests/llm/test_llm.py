@@ -135,6 +135,26 @@ def test_one_form():
         assert one(one(t)) == one(t)
 
 
+def test_longest_match_over_clusters():
+    one = lookalike.transducer()
+    # The twin alone has a rule, the twin with its marks another one; half-width kana likewise.
+    same = [("а", "a"), ("ӓ", "ä"), ("ａ̣̂", "ậ"), ("ậ", "ậ"), ("ậ", "ậ"), ("ё", "ë"), ("Ά", "Á"), ("ｶ", "カ"), ("ｶﾞ", "ガ"), ("ﾊﾟ", "パ"), ("각", "각"), ("ﬁ", "fi"), ("ǆ", "dž"), ("\u212a", "K"), ("u\u200b\u200d̈", "ü")]
+    assert [one(a) for a, _ in same] == [b for _, b in same]
+    # Without the rules of sequences the shorter match would leave the mark outside.
+    bare = lookalike.Transducer([("x", "y")])
+    full = lookalike.Transducer([("x", "y"), ("x\u20d7", "z")])
+    assert bare("éx\u20d7") == "éy\u20d7" and full("éx\u20d7") == "éz"
+
+
+def test_all_twins_become_one():
+    one = lookalike.transducer()
+    for group in (lookalike.CYRILLIC, lookalike.GREEK, lookalike.ARMENIAN, lookalike.LISU, lookalike.CHEROKEE):
+        for pair in group.split():
+            assert one(pair[0]) == pair[1]
+    assert one("𝐀𝒷𝗖𝟜") == "AbC4" and one("Ⅷ") == "VIII" and one("ꓡꓲꓢꓴ ᎳᎬ") == "LISU WE"
+    assert all(one(one(a)) == one(a) for a, _ in lookalike.rules())
+
+
 def test_conflicts_are_found():
     with pytest.raises(ValueError):
         lookalike.Transducer([("x", "a"), ("x", "b")])
