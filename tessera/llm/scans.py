@@ -6,10 +6,10 @@ broken at a line's end is put together if the corpus writes it as one word, and
 hyphen if the corpus writes it so. A word the corpus hardly knows, that one known confusion of
 characters turns into a word it knows well, is a misreading.
 
-Three passes, none of which gathers the corpus: words are counted in each task and combined by a
-group-by; each section's questions (broken words, uncommon words) are joined to the counts by key;
-the answers, a few per paper, are joined back to the papers. Only the words that make up at least
-1 / 50,000 of all words are sent to the tasks, so at most 50,000 of them.
+Each text is parsed once, into its noise lines, broken words and words with their numbers; the rest
+are joins and group-bys of words, none of which gathers the corpus. Which characters are confused is
+learned from pairs of rare and frequent words, besides a short list for small corpora. Only words that
+make up at least 1 / 50,000 of all words are broadcast, so at most 50,000 of them.
 
 Defined results: null and blank sections and papers without sections have no noise; a null title or
 file name only takes away that evidence; repeated rows count each by their id; rows with a null id
@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 from tessera.llm.lookalike import transducer
 from tessera.session import materialize
 
-# What scanners read for what is printed, as read:printed.
+# What scanners read for what is printed, as (read, printed). They only help where a
+# corpus is too small to show its confusions by itself (see ``_learned``).
 CONFUSIONS = [
-    tuple(pair.split(":"))
-    for pair in (
-        "c:e e:c f:t t:f @:a ri:n n:ri !:i !:l l:i i:l 1:l 1:i cl:d d:cl 5:s 0:o ii:u u:ii rn:m m:rn q:g g:q b:h h:b "
-        "6:b 8:b 9:g l:t t:l vv:w w:vv 3:e $:s |:l |:i o:c c:o nn:m fi:h li:h in:m"
-    ).split()
-]
+    ("c", "e"), ("e", "c"), ("f", "t"), ("t", "f"), ("@", "a"), ("ri", "n"), ("n", "ri"), ("!", "i"), ("!", "l"), ("l", "i"), ("i", "l"), ("1", "l"), ("1", "i"),
+    ("cl", "d"), ("d", "cl"), ("5", "s"), ("0", "o"), ("ii", "u"), ("u", "ii"), ("rn", "m"), ("m", "rn"), ("q", "g"), ("g", "q"), ("b", "h"), ("h", "b"),
+    ("6", "b"), ("8", "b"), ("9", "g"), ("l", "t"), ("t", "l"), ("vv", "w"), ("w", "vv"), ("3", "e"), ("$", "s"), ("|", "l"), ("|", "i"), ("o", "c"), ("c", "o"),
+    ("nn", "m"), ("fi", "h"), ("li", "h"), ("in", "m"),
+]
 MARKS = "-\u2010\u2011\u00ad\u00ac"
 COMMON = 50_000
 LETTER = r"[^\W\d_]"
@@ -82,16 +82,17 @@ class Paper:
         stem = re.split(r"[_.]", (source or "").rsplit("/", 1)[-1])[0].lower()
         self.kinds = [[None] * len(lines) for _, lines in self.lines]
         short: list[tuple[int, int, str]] = []
+        longest = max(75, len(head) + 16)  # a header is a heading or the title, with a page number
         for s, (_, lines) in enumerate(self.lines):
             for i, line in enumerate(lines):
                 bare = line.strip()
                 if not bare:
                     continue
-                if len(bare) <= 24 and _page.fullmatch(bare) and not bare.endswith((".", ",", ";")) and (bare.count(")") == bare.count("(")) and not self._listed(lines, i):
+                if _page.fullmatch(bare) and not bare.endswith((".", ",", ";")) and (bare.count(")") == bare.count("(")) and not self._listed(lines, i):
                     self.kinds[s][i] = "page"
-                elif len(bare) <= 75 and not bare.endswith((":", ",", ";")) and len(lines) > 1:
+                elif len(bare) <= longest and not bare.endswith((":", ",", ";")) and len(lines) > 1:
                     core = _fold(bare)
-                    if 1 < len(core.split()) <= 9 or _wide(core):
+                    if " " in core or _wide(core):
                         short.append((s, i, core))
         # Fuzzy repetition: lines are compared within blocks of equal first or last word. Running text
         # has its templates too, so only what looks like a heading is compared.
@@ -112,10 +113,10 @@ class Paper:
                         break
                 else:
                     firsts.append((core, n))
-        first_words = set(head.split()[:10])
+        title_words = set(head.split())
         for n, (s, i, core) in enumerate(short):
             words = core.split()
-            titled = len(core) <= len(head) + 3 and (_wide(core) or len(words) >= 3 and 2 * len(first_words.intersection(words)) >= len(words)) and _alike(core, head[: len(core)], 0.85)
+            titled = len(core) <= len(head) + 3 and (_wide(core) or len(words) >= 3 and 2 * len(title_words.intersection(words)) >= len(words)) and _alike(core, head[: len(core)], 0.85)
             named = len(stem) > 5 and len(words) <= 6 and any(abs(len(w) - len(stem)) < 3 and (w[:3] == stem[:3] or w[-3:] == stem[-3:]) and _alike(w.strip(":,"), stem, 0.8) for w in words)
             if titled or named or n in again:
                 self.kinds[s][i] = "header"
@@ -159,7 +160,7 @@ class Paper:
         lines, out = self.flow(s), []
         for i, line in enumerate(lines[:-1]):
             end = line.rstrip()
-            m = _broken.search(end[-40:]) if end and end[-1] in MARKS else None
+            m = _broken.search(end.rsplit(None, 1)[-1]) if end and end[-1] in MARKS else None
             if m:
                 r = _onward.match(lines[i + 1].lstrip())
                 # After capitals ("TGF-", "RRHMB-") a hyphen is the name's own.
@@ -211,10 +212,10 @@ def _caps(w: str) -> bool:
     return w[:2].isupper() or w.isdigit()
 
 
-def readings(word: str) -> set[str]:
+def readings(word: str, confusions: list[tuple[str, str]] = CONFUSIONS) -> set[str]:
     """What a word may be if one kind of confusion is taken back, at one place or at all."""
     out = set()
-    for read, printed in CONFUSIONS:
+    for read, printed in confusions:
         if read in word:
             at = word.find(read)
             while at >= 0:
@@ -235,24 +236,48 @@ def _each(batch: pa.RecordBatch) -> Iterator[tuple[object, Paper]]:
         yield i, Paper(t, src, [(x["key"], x["value"]) for x in sec])
 
 
-def _counts(papers: DataFrame) -> DataFrame:
+def _sections(papers: DataFrame) -> DataFrame:
+    """What each section says, in one pass over the text: (id, section, kinds, breaks, words, ns): its
+    kinds of noise lines, its words that may be broken, and its words with their numbers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter[str] = Counter()
-        give = lambda: pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
         for b in batches:
-            for _, p in _each(b):
-                for s in range(len(p.lines)):
-                    for w, n in p.words(s).items():
-                        count[w] += n
-            if len(count) > 200_000:
-                yield give()
-                count.clear()
-        yield give()
+            rows: list[tuple] = []
+            for i, p in _each(b):
+                for s, (name, _) in enumerate(p.lines):
+                    words = p.words(s)
+                    breaks = [{"left": x[1], "mark": x[2], "right": x[3]} for x in p.breaks(s)]
+                    rows.append((i, name, sorted({k for k in p.kinds[s] if k}), breaks, list(words), list(words.values())))
+            cols = list(zip(*rows)) or [[]] * 6
+            kinds = (b.schema.field(0).type, pa.string(), pa.list_(pa.string()), pa.list_(pa.struct([(k, pa.string()) for k in ("left", "mark", "right")])), pa.list_(pa.string()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "section", "kinds", "breaks", "words", "ns"])
+
+    return papers.mapInArrow(run, f"id {dict(papers.dtypes)['id']}, section string, kinds array<string>, breaks array<struct<left: string, mark: string, right: string>>, words array<string>, ns array<bigint>")
+
+
+def _counts(parsed: DataFrame) -> DataFrame:
+    return parsed.select(F.explode(F.arrays_zip("words", "ns")).alias("w")).groupBy(F.col("w.words").alias("word")).agg(F.sum("w.ns").alias("n"))
+
+
+def _learned(counts: DataFrame, least: int, times: int, support: int, most: int) -> list[tuple[str, str]]:
+    """Confusions that the corpus itself shows: (read, printed) pieces of one or two characters by
+    which a word differs from a much more frequent one, in ``support`` pairs of words or more and in a
+    fiftieth of what the commonest confusion has. Words meet by what is left of them without the
+    piece. The ``most`` strongest are taken."""
+    def gaps(df: DataFrame, piece: str) -> DataFrame:
+        n = F.length("word")
+        at = lambda a: F.when(n >= a, F.transform(F.sequence(F.lit(1), n - a + 1), lambda i: F.struct(F.concat(F.substring("word", F.lit(1), i - 1), F.lit("\x00"), F.substring("word", i + a, n)).alias("rest"), F.substring("word", i, F.lit(a)).alias(piece)))).otherwise(F.array())
+        return df.select("word", "n", F.explode(F.concat(at(1), at(2))).alias("g")).select(F.col("word").alias(f"w_{piece}"), F.col("n").alias(f"n_{piece}"), "g.rest", f"g.{piece}")
 
-    return papers.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    plain = counts.where(~F.contains("word", F.lit("-")) & (F.length("word") > 3))
+    often = gaps(plain.where((F.col("n") >= least) & (F.length("word") > 4) & F.col("word").rlike(r"^\p{L}+$")), "printed")
+    met = gaps(plain, "read").join(often, "rest").where(F.col("n_printed") >= times * F.col("n_read"))
+    met = met.where((F.substring("read", 1, 1) != F.substring("printed", 1, 1)) & (F.substring("read", -1, 1) != F.substring("printed", -1, 1)))
+    found = met.groupBy("read", "printed").agg(F.count("*").alias("n")).where(F.col("n") >= support).orderBy(F.desc("n"), "read", "printed").limit(most).collect()
+    return [(r["read"], r["printed"]) for r in found if 50 * r["n"] >= found[0]["n"]]
 
 
-def _misread(counts: DataFrame, least: int, times: int) -> DataFrame:
+def _misread(counts: DataFrame, least: int, times: int, confusions: list[tuple[str, str]]) -> DataFrame:
     """(word, right) of words that are misreadings of much more frequent ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +285,7 @@ def _misread(counts: DataFrame, least: int, times: int) -> DataFrame:
             who, right = [], []
             for i, w in enumerate(b.column(0).to_pylist()):
                 if "-" not in w:
-                    for r in readings(w):
+                    for r in readings(w, confusions):
                         if len(r) > 2 and r.isalpha():
                             who.append(i), right.append(r)
             take = pa.array(who, pa.int64())
@@ -273,23 +298,6 @@ def _misread(counts: DataFrame, least: int, times: int) -> DataFrame:
     return known.groupBy("word").agg(F.max_by("right", F.struct("m", "right")).alias("right"))
 
 
-def _questions(papers: DataFrame, common: frozenset[str]) -> DataFrame:
-    """(id, section, noise, word, left, mark, right): noise lines as they are, and what to look up."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[tuple] = []
-            for i, p in _each(b):
-                for s, (name, _) in enumerate(p.lines):
-                    rows += [(i, name, k, None, None, None, None) for k in sorted({k for k in p.kinds[s] if k})]
-                    rows += [(i, name, "hyphen", None, left, mark, right) for left, mark, right in sorted({x[1:] for x in p.breaks(s)})]
-                    rows += [(i, name, "ocr", w, None, None, None) for w in p.words(s) if w not in common and "-" not in w]
-            cols = list(zip(*rows)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), *(pa.array(c, pa.string()) for c in cols[1:])], names=["id", "section", "noise", "word", "left", "mark", "right"])
-
-    return papers.mapInArrow(run, f"id {dict(papers.dtypes)['id']}, section string, noise string, word string, left string, mark string, right string")
-
-
 def _broken_words(asked: DataFrame, counts: DataFrame) -> DataFrame:
     """(left, mark, right) of breaks that belong to one word."""
     q = asked.select("left", "mark", "right").distinct()
@@ -301,22 +309,26 @@ def _broken_words(asked: DataFrame, counts: DataFrame) -> DataFrame:
     return n.where(whole).select("left", "mark", "right")
 
 
-def noise(df: DataFrame, id: str = "paper_id", title: str = "title", source: str = "source_pdf", sections: str = "sections", least: int = 5, times: int = 10) -> DataFrame:
+def noise(df: DataFrame, id: str = "paper_id", title: str = "title", source: str = "source_pdf", sections: str = "sections", least: int = 5, times: int = 10, known: list[tuple[str, str]] = CONFUSIONS, support: int = 3, most: int = 1000) -> DataFrame:
     """(id, section, noise, word, left, mark, right, fix) of all noise; a row per kind for noise
-    lines, per distinct broken or misread word for the others."""
-    papers = _papers(df, id, title, source, sections)
-    counts = materialize(_counts(papers), "words")
-    misread = materialize(_misread(counts, least, times), "misread")
+    lines, per distinct broken or misread word for the others. Confusions are those ``known`` and
+    those that at least ``support`` pairs of the corpus' words show."""
+    parsed = materialize(_sections(_papers(df, id, title, source, sections)), "parsed")
+    counts = materialize(_counts(parsed), "words")
+    confusions = list(dict.fromkeys([*known, *_learned(counts, least, times, support, most)]))
+    misread = materialize(_misread(counts, least, times, confusions), "misread")
+    text = lambda *names: [F.lit(None).cast("string").alias(c) for c in names]
+    lines = parsed.select("id", "section", F.explode("kinds").alias("noise"), *text("word", "left", "mark", "right", "fix"))
+    asked = parsed.select("id", "section", F.explode(F.array_distinct("breaks")).alias("b")).select("id", "section", F.lit("hyphen").alias("noise"), *text("word"), "b.left", "b.mark", "b.right")
+    joined = asked.join(_broken_words(asked, counts), ["left", "mark", "right"], "left_semi").withColumn("fix", F.concat("left", "right"))
+    # Words that make up 1 / 50,000 of all words are right, unless they are misreadings; without them
+    # few rows are left to join.
     total = counts.agg(F.sum("n")).first()[0] or 0
-    often = counts.where(F.col("n") * COMMON >= total).join(misread, "word", "left_anti")
-    asked = materialize(_questions(papers, frozenset(r[0] for r in often.select("word").collect())), "asked")
-    lines = asked.where("noise in ('page', 'header')").withColumn("fix", F.lit(None).cast("string"))
-    hyphens = asked.where("noise = 'hyphen'")
-    whole = _broken_words(hyphens, counts)
-    joined = hyphens.join(whole, ["left", "mark", "right"], "left_semi").withColumn("fix", F.concat("left", "right"))
-    words = asked.where("noise = 'ocr'").join(misread.withColumnRenamed("right", "fix"), "word")
+    often = counts.where(F.col("n") * COMMON >= total).join(misread, "word", "left_anti").select("word")
+    words = parsed.select("id", "section", F.explode("words").alias("word")).join(F.broadcast(often), "word", "left_anti")  # at most COMMON words
+    misreads = words.join(misread.withColumnRenamed("right", "fix"), "word").select("id", "section", F.lit("ocr").alias("noise"), "word", *text("left", "mark", "right"), "fix")
     cols = ["id", "section", "noise", "word", "left", "mark", "right", "fix"]
-    return lines.select(cols).unionByName(joined.select(cols)).unionByName(words.select(cols))
+    return lines.select(cols).unionByName(joined.select(cols)).unionByName(misreads.select(cols))
 
 
 def repair(df: DataFrame, id: str = "paper_id", title: str = "title", source: str = "source_pdf", sections: str = "sections") -> DataFrame:
