@@ -131,7 +131,7 @@ def pairs_of(c: Column) -> Column:
 def candidates(forms: DataFrame, stems: DataFrame, threshold: float = 0.25, slips: int | None = None) -> DataFrame:
     """(form, stem, jaccard) of all words of ``forms(form)`` and ``stems(stem)``, both distinct and not
     empty, whose sets of letter pairs are at least as similar as ``threshold``; with ``slips`` only
-    of those whose lengths differ by no more, as more edits would be needed."""
+    of those that so many edits may lead from one to the other, which is told before sets are compared."""
     both = forms.select(F.col("form").alias("word"), F.lit(False).alias("own")).unionByName(stems.select(F.col("stem").alias("word"), F.lit(True).alias("own")))
     tokens = both.select("word", "own", F.explode(pairs_of(F.col("word"))).alias("tok"))
     rarity = tokens.groupBy("tok").agg(F.count("*").alias("n"))
@@ -147,9 +147,12 @@ def candidates(forms: DataFrame, stems: DataFrame, threshold: float = 0.25, slip
     met = met.where((nb >= t * na) & (na >= t * nb))
     if slips is not None:
         met = met.where(F.abs(F.length("wa") - F.length("wb")) <= slips)
+        near = F.levenshtein("wa", "wb", 2 * slips) >= 0  # a swap counts two there
     # Position: what lies before the shared pair and what lies after it can't hold more than this.
     need = t / (1 + t) * (na + nb) - 1e-9
     met = met.where(F.least("ia", "ib") + 1 + F.least(na - F.col("ia") - 1, nb - F.col("ib") - 1) >= need)
+    if slips is not None:
+        met = met.where(near)
     both_ = F.size(F.array_intersect("ta", "tb"))
     met = met.withColumn("jaccard", both_ / (na + nb - both_)).where(F.col("jaccard") >= t)
     met = met.where(F.get(F.array_intersect("pa", "pb"), 0) == F.col("tok"))  # each two words meet once
