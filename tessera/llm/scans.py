@@ -271,7 +271,7 @@ def _learned(counts: DataFrame, least: int, times: int, support: int, most: int)
 
     plain = counts.where(~F.contains("word", F.lit("-")) & (F.length("word") > 3))
     often = gaps(plain.where((F.col("n") >= least) & (F.length("word") > 4) & F.col("word").rlike(r"^\p{L}+$")), "printed")
-    met = gaps(plain, "read").join(often, "rest").where(F.col("n_printed") >= times * F.col("n_read"))
+    met = gaps(plain, "read").join(often.hint("merge"), "rest").where(F.col("n_printed") >= times * F.col("n_read"))
     met = met.where((F.substring("read", 1, 1) != F.substring("printed", 1, 1)) & (F.substring("read", -1, 1) != F.substring("printed", -1, 1)))
     found = met.groupBy("read", "printed").agg(F.count("*").alias("n")).where(F.col("n") >= support).orderBy(F.desc("n"), "read", "printed").limit(most).collect()
     return [(r["read"], r["printed"]) for r in found if 50 * r["n"] >= found[0]["n"]]
@@ -293,7 +293,7 @@ def _misread(counts: DataFrame, least: int, times: int, confusions: list[tuple[s
 
     tried = counts.mapInArrow(run, "word string, n bigint, right string")
     odd = F.col("word").rlike("[^\\p{L}]")
-    known = tried.join(counts.select(F.col("word").alias("right"), F.col("n").alias("m")), "right")
+    known = tried.join(counts.select(F.col("word").alias("right"), F.col("n").alias("m")).hint("merge"), "right")
     known = known.where(F.when(odd, (F.col("m") >= 2) & (F.col("m") >= 2 * F.col("n"))).otherwise((F.col("m") >= least) & (F.col("m") >= times * F.col("n"))))
     return known.groupBy("word").agg(F.max_by("right", F.struct("m", "right")).alias("right"))
 
@@ -326,7 +326,7 @@ def noise(df: DataFrame, id: str = "paper_id", title: str = "title", source: str
     total = counts.agg(F.sum("n")).first()[0] or 0
     often = counts.where(F.col("n") * COMMON >= total).join(misread, "word", "left_anti").select("word")
     words = parsed.select("id", "section", F.explode("words").alias("word")).join(F.broadcast(often), "word", "left_anti")  # at most COMMON words
-    misreads = words.join(misread.withColumnRenamed("right", "fix"), "word").select("id", "section", F.lit("ocr").alias("noise"), "word", *text("left", "mark", "right"), "fix")
+    misreads = words.join(misread.withColumnRenamed("right", "fix").hint("merge"), "word").select("id", "section", F.lit("ocr").alias("noise"), "word", *text("left", "mark", "right"), "fix")
     cols = ["id", "section", "noise", "word", "left", "mark", "right", "fix"]
     return lines.select(cols).unionByName(joined.select(cols)).unionByName(misreads.select(cols))
 
