@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.cells import quantiles
 from tessera.operators.graph import knn
 from tessera.session import materialize
 
@@ -22,9 +23,13 @@ def pca(embed: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
     rows = embed.withColumn("__v", array_to_vector(F.col("vec").cast("array<double>")))
     pc = PCA(k=k, inputCol="__v", outputCol="__p").fit(rows).pc.toArray()
     pc = pc * np.sign(pc[np.abs(pc).argmax(0), range(pc.shape[1])])
-    columns = [list(map(float, c)) for c in pc.T]
-    dot = lambda c: F.aggregate(F.zip_with(F.col("vec").cast("array<double>"), F.array(*map(F.lit, c)), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return embed.withColumn("vec", F.array(*map(dot, columns))), pc
+    held = embed.sparkSession.sparkContext.broadcast(pc)  # k columns of one number a dimension
+
+    @F.pandas_udf("array<double>")
+    def project(v: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(v) @ held.value) if len(v) else [], dtype=object)
+
+    return embed.withColumn("vec", project(F.col("vec").cast("array<double>"))), pc
 
 
 def kmeans(embed: DataFrame, k: int, seed: int = 1) -> DataFrame:
@@ -91,5 +96,33 @@ def simulated_doublets(embed: DataFrame, rate: float, k: int = 15, seed: int = 0
     pairs = embed.select("id", v.alias("vec"), F.lead(v).over(w).alias("other"), F.row_number().over(w).alias("r"))
     sims = pairs.where((F.col("other").isNotNull()) & (F.pmod("r", F.lit(4 if n >= 256 else 2)) == 1)).select("id", F.zip_with("vec", "other", lambda a, b: a + b).alias("vec"))
     near = knn(embed.select("id", "vec"), sims, k, drop_self=False).groupBy(F.col("query").alias("id")).agg((1 / (1 + F.avg("distance"))).alias("score"))
-    cut = near.agg(F.percentile("score", 1 - rate).alias("cut"))
+    near = materialize(near, "scores")
+    cut = quantiles(near, [], {"cut": ("score", 1 - rate)})
     return near.crossJoin(F.broadcast(cut)).select("id", "score", (F.col("score") >= F.col("cut")).alias("doublet"))
+
+
+def simulated_doublets_by_sample(embed: DataFrame, sample: str, k: int = 15, seed: int = 0) -> DataFrame:
+    """:func:`simulated_doublets` within each sample, at the rate its number of cells leads one to expect;
+    a run per sample, of which there are few."""
+    out = None
+    for name, n in embed.groupBy(sample).agg(F.count("*").alias("n")).orderBy(sample).collect():
+        part = simulated_doublets(embed.where(F.col(sample) == name), min(0.10, max(0.005, 0.008 * n / 1000)), k, seed).withColumn(sample, F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def impute_diffusion(lognorm: DataFrame, edges: DataFrame, steps: int = 3) -> DataFrame:
+    """Values smoothed along the neighbour graph ``(query, neighbor, rank, distance)``: a Gaussian kernel
+    as wide as each cell's farthest neighbour, made symmetric, rows summing to one, walked ``steps``
+    times (a layer of its own; the counts stay as they are). A step is a join and a group-by of the
+    stored values; nothing is made dense but by the walk itself."""
+    wide = edges.groupBy("query").agg(F.max("distance").alias("w"))
+    half = edges.join(wide, "query").select(F.col("query").alias("a"), F.col("neighbor").alias("b"), (0.5 * F.exp(-F.pow(F.col("distance") / F.greatest("w", F.lit(1e-12)), 2))).alias("k"))
+    own = half.select("a").union(half.select("b")).distinct().select(F.col("a"), F.col("a").alias("b"), F.lit(1.0).alias("k"))
+    both = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "k")).unionByName(own).groupBy("a", "b").agg(F.sum("k").alias("k"))
+    total = both.groupBy("a").agg(F.sum("k").alias("t"))
+    p = materialize(both.join(total, "a").select("a", "b", (F.col("k") / F.col("t")).alias("p")), "walk")
+    now = lognorm
+    for _ in range(steps):
+        now = materialize(p.join(now, p.b == now.cell_id).groupBy(F.col("a").alias("cell_id"), "gene_id").agg(F.sum(F.col("p") * F.col("value")).alias("value")), "imputed")
+    return now

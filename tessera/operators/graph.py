@@ -34,7 +34,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int, drop_self: bool = True, blo
         out = []
         for at in range(0, len(x), 256):
             part = x[at : at + 256]
-            d = ((part[:, None, :] - y[None]) ** 2).sum(-1) if len(y) < 4096 else (part**2).sum(1)[:, None] - 2 * part @ y.T + (y**2).sum(1)[None]
+            d = _squared(part, y)
             for i, row in enumerate(d):
                 me = asked[at + i]
                 if drop_self:
@@ -53,6 +53,18 @@ def knn(queries: DataFrame, base: DataFrame, k: int, drop_self: bool = True, blo
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances by dot products, for blocks of any width. Where that loses digits (rows that
+    nearly coincide) they are worked out again by differences."""
+    xx, yy = (x * x).sum(1)[:, None], (y * y).sum(1)[None]
+    d = np.maximum(xx - 2 * (x @ y.T) + yy, 0)
+    i, j = np.nonzero(d < 1e-6 * (xx + yy))
+    for at in range(0, len(i), 65_536):
+        a, b = i[at : at + 65_536], j[at : at + 65_536]
+        d[a, b] = ((x[a] - y[b]) ** 2).sum(1)
+    return d
+
+
 def ivf_fit(base: DataFrame, cells: int = 32, sample: int = 20_000, rounds: int = 10, seed: int = 7) -> np.ndarray:
     """Centroids of an inverted-file index, fitted on at most ``sample`` rows (by hash order)."""
     rows = base.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select("vec").toPandas()
@@ -143,7 +155,7 @@ def silhouette(embed: DataFrame, sample: int | None = None) -> DataFrame:
         names, inv = np.unique(lab, return_inverse=True)
         out = []
         for at in range(0, len(u), 256):
-            d = np.sqrt(((u[at : at + 256, None] - v[None]) ** 2).sum(-1))
+            d = np.sqrt(_squared(u[at : at + 256], v))
             s = np.stack([d[:, inv == j].sum(1) for j in range(len(names))], 1)
             part = x.iloc[at : at + 256]
             out.append(pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), len(names)), "label": np.repeat(part["label"].to_numpy(), len(names)), "other": np.tile(names, len(part)), "s": s.ravel(), "n": np.tile(np.bincount(inv), len(part))}))
@@ -156,14 +168,17 @@ def silhouette(embed: DataFrame, sample: int | None = None) -> DataFrame:
     return per.select("id", "label", F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-300))).alias("s"))
 
 
-def choose_resolution(scores: DataFrame) -> DataFrame:
+def choose_resolution(scores: DataFrame, least: int = 3, most: int = 25) -> DataFrame:
     """``scores(resolution, silhouette, marker, n_clusters)``: min-max normalised silhouette and marker
-    score and a prior on the number of clusters; best first, ties to the smaller resolution."""
+    score (0 where all are equal) and a prior on the number of clusters: a tenth of its share of
+    ``least`` below that, 1 up to ``most``, 0.05 less for each cluster beyond; best first, ties to the
+    smaller resolution. A sweep has few resolutions, so its one window is small."""
     w = Window.partitionBy()
-    norm = lambda c: F.when(F.max(c).over(w) > F.min(c).over(w), (F.col(c) - F.min(c).over(w)) / (F.max(c).over(w) - F.min(c).over(w))).otherwise(1.0)
-    prior = F.when(F.col("n_clusters").between(3, 40), 1.0).otherwise(0.5)
-    s = F.when(F.col("marker").isNull(), 0.55 * norm("silhouette") + 0.45 * prior).otherwise(0.45 * norm("silhouette") + 0.35 * norm("marker") + 0.20 * prior)
-    return scores.withColumn("score", s).orderBy(F.desc("score"), "resolution").limit(1)
+    norm = lambda c: F.when(F.max(c).over(w) > F.min(c).over(w), (F.coalesce(c, F.min(c).over(w)) - F.min(c).over(w)) / (F.max(c).over(w) - F.min(c).over(w))).otherwise(0.0)
+    n = F.coalesce("n_clusters", F.lit(0))
+    prior = F.when(n < least, 0.1 * n / max(least, 1)).when(n > most, F.greatest(F.lit(0.0), 1.0 - 0.05 * (n - most))).otherwise(1.0)
+    s = F.when(F.count("marker").over(w) == 0, 0.55 * norm("silhouette") + 0.45 * prior).otherwise(0.45 * norm("silhouette") + 0.35 * norm("marker") + 0.20 * prior)
+    return scores.withColumn("score", s).orderBy(F.desc(F.round("score", 12)), "resolution").limit(1)
 
 
 def cluster_graph(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -198,28 +213,79 @@ def elongation(points: DataFrame, label: str = "label", x: str = "x", y: str = "
     return m.select(F.when(lo > 1e-12, F.sqrt(hi / lo)).alias("elongation"))
 
 
-def continuity(n_cells: int, n_clusters: int, path: float, stretch: float | None, velocity: bool = False, forced: bool = False) -> dict:
-    """Whether a trajectory is worth running: an additive score of its signs."""
-    if n_cells < 40 and not forced:
-        return {"decision": "skip", "score": 0, "confidence": "none"}
-    score = (1 if 3 <= n_clusters <= 12 else 0) + (2 if path >= 0.45 else -1 if path < 0.2 else 0) + (1 if stretch and stretch >= 2 else 0) + (2 if velocity else 0)
-    run = forced or score >= 2
-    return {"decision": "run" if run else "skip", "score": score, "confidence": "high" if score >= 4 else "medium" if score >= 2 else "low"}
+def continuity(n_cells: int, n_clusters: int | None, path: float | None = None, stretch: float | None = None, velocity: bool = False, forced: bool = False) -> dict:
+    """Whether a trajectory is worth running: an additive score of its signs. ``path`` is None where
+    there is no cluster graph, ``n_clusters`` where nothing was clustered."""
+    if n_cells < 40 or n_clusters is None:
+        return {"decision": "run" if forced else "skip", "score": 0, "confidence": "low" if forced else "none"}
+    signs = [
+        1 if n_clusters >= 3 else -1,
+        0 if path is None else 2 if path >= 0.45 else -1 if path < 0.2 else 0,
+        int(stretch is not None and stretch >= 2),
+        int(velocity),
+    ]
+    score = sum(signs)
+    return {"decision": "run" if forced or score >= 2 else "skip", "score": score, "confidence": "high" if score >= 3 else "low" if forced else "moderate"}
+
+
+# Tissues of continuous and of discrete cells, words that ask for a trajectory, genes of stem cells.
+CONTINUOUS = {"embryo", "development", "developing", "hematopoiesis", "bone_marrow", "marrow", "thymus", "differentiation", "reprogramming"}
+DISCRETE = {"pbmc", "blood", "immune"}
+ASKS_TRAJECTORY = ("轨迹", "伪时间", "命运", "分化", "palantir", "scvelo", "velocity", "monocle", "pseudotime")
+STEM_GENES = ("KIT", "PROM1", "SOX2", "POU5F1", "NANOG", "CD34", "EPCAM")
+
+
+def trajectory_candidate(tissue: str | None = None, layers: list[str] | None = None, query: str | None = None) -> dict:
+    """Whether a trajectory is to be looked at: asked for, or spliced layers, or a continuous tissue."""
+    t, q = (tissue or "default").lower(), (query or "").lower()
+    velocity = not {"spliced", "unspliced"}.isdisjoint(x.lower() for x in layers or [])
+    asked = any(k in q for k in ASKS_TRAJECTORY)
+    return {"candidate": asked or velocity or t in CONTINUOUS and t not in DISCRETE, "velocity": velocity}
+
+
+def root_cell(lognorm: DataFrame, var: DataFrame, obs: DataFrame, by: str = "cluster", name: str = "gene_name") -> DataFrame:
+    """(cell_id): where a trajectory begins: the cell of the largest mean over the stem genes, the first
+    of equals; without such genes the first cell of the smallest cluster (of equals the last by name)."""
+    stem = var.where(F.upper(name).isin(*STEM_GENES)).select("gene_id")
+    score = lognorm.join(stem, "gene_id", "left_semi").groupBy("cell_id").agg(F.sum("value").alias("s"))
+    smallest = obs.groupBy(by).agg(F.count("*").alias("n"), F.min("cell_id").alias("first")).orderBy("n", F.desc(by)).limit(1)
+    best = obs.select("cell_id").join(score, "cell_id", "left").agg(F.max(F.struct(F.coalesce("s", F.lit(0.0)).alias("s"), (-F.col("cell_id")).alias("c"))).alias("b"))
+    has = stem.agg((F.count("*") > 0).alias("has"))
+    return best.crossJoin(F.broadcast(smallest)).crossJoin(F.broadcast(has)).select(F.when(F.col("has"), -F.col("b.c")).otherwise(F.col("first")).alias("cell_id"))
+
+
+# Embeddings in the order in which one is taken.
+EMBEDDINGS = ("X_pca_harmony", "X_scVI", "X_scanorama", "X_pca")
 
 
-def modularity_clusters(edges: DataFrame, rounds: int = 10) -> DataFrame:
+def pick_embedding(there: DataFrame, asked: str | None = None, rep: str = "rep") -> DataFrame:
+    """The rows of the first embedding that is there: the one asked for, else by the fixed order."""
+    names = [*([asked] if asked else []), *EMBEDDINGS]
+    place = F.array_position(F.array(*map(F.lit, names)), F.col(rep))
+    best = there.where(place > 0).agg(F.min(place).alias("__p"))
+    return there.withColumn("__o", place).crossJoin(F.broadcast(best)).where("__o = __p").drop("__o", "__p")
+
+
+def modularity_clusters(edges: DataFrame, rounds: int = 10, resolution: float = 1.0) -> DataFrame:
     """(id, cluster) by label moves over an undirected neighbour graph: in each round every second
-    node, by hash, takes the neighbouring label with the largest modularity gain."""
+    node, by hash, takes the neighbouring label with the largest gain in modularity, whose expected
+    links count ``resolution`` times: a larger one gives more and smaller clusters."""
     e = edges.select(F.least("query", "neighbor").alias("u"), F.greatest("query", "neighbor").alias("v")).distinct().where("u <> v")
     e = materialize(e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
     deg = materialize(e.groupBy("u").agg(F.count("*").alias("deg")), "degrees")
+    out = _moves(e, deg, rounds, resolution)
+    discard(e), discard(deg)
+    return out
+
+
+def _moves(e: DataFrame, deg: DataFrame, rounds: int, resolution: float) -> DataFrame:
     m2 = deg.agg(F.sum("deg")).first()[0] or 1
     lab = deg.select(F.col("u").alias("id"), F.col("u").alias("cluster"), "deg")
     for r in range(rounds):
         tot = lab.groupBy("cluster").agg(F.sum("deg").alias("tot"))
         near = e.join(lab.select(F.col("id").alias("v"), "cluster"), "v").groupBy("u", "cluster").agg(F.count("*").alias("k")).join(tot, "cluster")
         own = lab.select(F.col("id").alias("u"), F.col("cluster").alias("mine"), "deg")
-        gain = near.join(own, "u").withColumn("g", F.col("k") - F.col("deg") * (F.col("tot") - F.when(F.col("cluster") == F.col("mine"), F.col("deg")).otherwise(0)) / m2)
+        gain = near.join(own, "u").withColumn("g", F.col("k") - resolution * F.col("deg") * (F.col("tot") - F.when(F.col("cluster") == F.col("mine"), F.col("deg")).otherwise(0)) / m2)
         best = gain.groupBy("u").agg(F.max(F.struct(F.round("g", 9), -F.col("cluster"))).alias("b"))
         new = lab.join(best, lab.id == best.u, "left").select("id", F.when((F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0) & F.col("b").isNotNull(), -F.col("b.col2")).otherwise(F.col("cluster")).alias("cluster"), "deg")
         old, lab = lab, materialize(new, "labels")
@@ -227,6 +293,34 @@ def modularity_clusters(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return lab.select("id", "cluster")
 
 
+def resolution_sweep(edges: DataFrame, embed: DataFrame, resolutions: list[float] = [0.2, 0.4, 0.6, 0.8, 1.0], rounds: int = 10, sample: int = 5000, markers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """((resolution, id, cluster), (resolution, silhouette, marker, n_clusters)): the clusters at every
+    resolution and their scores, for :func:`choose_resolution`. The silhouette takes at most ``sample``
+    rows, as the score's definition does; ``markers(resolution, marker)`` is joined if given."""
+    e = edges.select(F.least("query", "neighbor").alias("u"), F.greatest("query", "neighbor").alias("v")).distinct().where("u <> v")
+    e = materialize(e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
+    deg = materialize(e.groupBy("u").agg(F.count("*").alias("deg")), "degrees")
+    labels = scores = None
+    for r in resolutions:
+        lab = _moves(e, deg, rounds, r).select(F.lit(float(r)).alias("resolution"), "id", "cluster")
+        rows = materialize(embed.select("id", "vec").join(lab.select("id", F.col("cluster").alias("label")), "id"), "labelled")
+        s = silhouette(rows, sample).agg(F.avg("s").alias("silhouette"))
+        row = s.crossJoin(lab.agg(F.countDistinct("cluster").alias("n_clusters"))).select(F.lit(float(r)).alias("resolution"), "silhouette", "n_clusters")
+        labels, scores = (lab, row) if labels is None else (labels.unionByName(lab), scores.unionByName(row))
+    scores = scores.withColumn("marker", F.lit(None).cast("double")) if markers is None else scores.join(markers, "resolution", "left")
+    return labels, scores.select("resolution", "silhouette", "marker", "n_clusters")
+
+
+def knn_per_batch(embed: DataFrame, k: int = 3, batch: str = "label") -> DataFrame:
+    """(query, neighbor, batch, rank, distance): the ``k`` nearest of every batch for every row, so that
+    no batch is without links to the others. A search per batch, of which there are few."""
+    out = None
+    for r in embed.select(batch).distinct().orderBy(batch).collect():
+        part = knn(embed, embed.where(F.col(batch) == r[0]), k).select("query", "neighbor", F.lit(r[0]).alias(batch), "rank", "distance")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def harmonize(embed: DataFrame, k: int = 8, rounds: int = 3, sigma: float = 0.1, ridge: float = 1.0, seed: int = 3) -> DataFrame:
     """Batch-corrected embeddings: soft clusters on the sphere, then each cluster's batch offset (a
     ridge-shrunk difference of batch and cluster mean) is taken off by membership. Only sums per

@@ -73,16 +73,21 @@ def pseudobulk_de(matrix: DataFrame, obs: DataFrame, engine: str = "ttest", conf
         raise ValueError(f"no engine {engine!r} is plugged in")
     if confirmatory:
         raise ValueError("a t-test isn't accepted for a confirmatory result; plug in a count-model engine")
-    return bh_fdr(pseudobulk_welch(matrix, obs, **kw), ["cell_type"]).where("not (fdr > 0.2 and abs(logFC) < 0.25)")
+    # Every gene of the matrix is a test of every cell type; those it never shows have a p of 1.
+    genes = matrix.agg(F.countDistinct("gene_id").alias("n"))
+    return bh_fdr(pseudobulk_welch(matrix, obs, **kw), ["cell_type"], tests=genes).where("not (fdr > 0.2 and abs(logFC) < 0.25)")
 
 
-def bh_fdr(df: DataFrame, by: list[str], p: str = "pval", into: str = "fdr") -> DataFrame:
-    """Benjamini-Hochberg within each group; a null or NaN p counts as 1."""
+def bh_fdr(df: DataFrame, by: list[str], p: str = "pval", into: str = "fdr", tests: DataFrame | None = None) -> DataFrame:
+    """Benjamini-Hochberg within each group; a null or NaN p counts as 1. ``tests``, one row with a
+    number, says how many tests a group has where those without a row all had a p of 1."""
     v = F.coalesce(F.nanvl(F.col(p), F.lit(1.0)), F.lit(1.0))
     ranked = df.withColumn("__p", v).withColumn("__m", F.count("*").over(Window.partitionBy(*by)))
     # Tied p-values take the last of their ranks, which the running minimum would give them anyway.
     ranked = ranked.withColumn("__r", F.count("*").over(Window.partitionBy(*by).orderBy("__p").rangeBetween(Window.unboundedPreceding, 0)))
     down = Window.partitionBy(*by).orderBy(F.desc("__p")).rangeBetween(Window.unboundedPreceding, 0)
+    if tests is not None:
+        ranked = ranked.crossJoin(F.broadcast(tests.select(F.col(tests.columns[0]).alias("__t")))).withColumn("__m", F.greatest("__m", "__t")).drop("__t")
     return ranked.withColumn(into, F.least(F.lit(1.0), F.min(F.col("__p") * F.col("__m") / F.col("__r")).over(down))).drop("__p", "__m", "__r")
 
 
@@ -155,7 +160,7 @@ def distinct_markers(top: DataFrame, by: str = "cluster") -> DataFrame:
     return top.groupBy("gene_id").agg(F.min(F.struct(by, "rank")).alias("f")).select("gene_id", F.col(f"f.{by}").alias(by), F.col("f.rank").alias("rank"))
 
 
-def ora(query: DataFrame, sets: DataFrame, background: DataFrame | None = None, min_overlap: int = 2, gene: str = "gene", by: str | None = None) -> DataFrame:
+def ora(query: DataFrame, sets: DataFrame, background: DataFrame | None = None, min_overlap: int = 2, gene: str = "gene", most: int | None = None) -> DataFrame:
     """Over-representation of ``query(gene)`` in ``sets(term, gene)``: hypergeometric tail, BH over the
     terms that reach ``min_overlap``. Without a background it is the query and all members."""
     up = lambda df, *keep: df.select(*keep, F.upper(F.trim(F.col(gene).cast("string"))).alias("g")).where("g <> ''").distinct()
@@ -169,7 +174,8 @@ def ora(query: DataFrame, sets: DataFrame, background: DataFrame | None = None,
     c = lambda k: F.col(k).cast("bigint")
     out = out.withColumn("pval", hypergeom_tail(c("overlap"), c("set_size"), c("query_size"), c("n_background")))
     # All terms are one family; a term list is short, so its single window is too.
-    return bh_fdr(out.withColumn("__f", F.lit(1)), ["__f"]).drop("__f").withColumn("method", F.lit("ora_hypergeom"))
+    out = bh_fdr(out.withColumn("__f", F.lit(1)), ["__f"]).drop("__f").withColumn("method", F.lit("ora_hypergeom"))
+    return out if most is None else out.orderBy("pval", F.desc("overlap"), "term").limit(most)
 
 
 def score_groups(df: DataFrame, by: str, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -177,18 +183,71 @@ def score_groups(df: DataFrame, by: str, fn: Callable[[pd.DataFrame], pd.DataFra
     return df.groupBy(by).applyInPandas(fn, schema)
 
 
-# Names under which people choose a method, and what each stands for.
-_ENGINES = {"wilcoxon": "wilcoxon", "t-test": "ttest", "ttest": "ttest", "pseudobulk": "pseudobulk", "edger": "edger", "deseq2": "deseq2", "mast": "mast"}
+# Names under which people choose a test of markers, and what each stands for.
+_MARKER_TESTS = {"wilcoxon": "wilcoxon", "t-test": "t-test", "ttest": "t-test", "t_test": "t-test", "t test": "t-test", "mast": "mast"}
+_OFF, _CELL_LEVEL = {"off", "false", "0", "no", "none"}, {"ttest", "t-test", "wilcoxon", "mast"}
 
 
-def marker_method(asked: str | None, default: str = "wilcoxon") -> str:
-    return _ENGINES.get((asked or "").strip().lower(), default)
+def _said(asked: object) -> str:
+    return str("auto" if asked is None or asked == "" else asked).strip().lower()
 
 
-def other_method(method: str) -> str:
-    """The test a result is cross-checked with."""
-    return {"wilcoxon": "ttest", "ttest": "wilcoxon", "edger": "deseq2", "deseq2": "edger"}.get(method, "wilcoxon")
+def marker_method(asked: str | None) -> str:
+    """The test of markers: the one asked for, Wilcoxon for anything else."""
+    return _MARKER_TESTS.get(_said(asked), "wilcoxon")
+
+
+def other_marker_method(method: str) -> str:
+    """The test that markers are cross-checked with."""
+    return "t-test" if method == "wilcoxon" else "wilcoxon"
+
+
+def other_engine(engine: str | None) -> str:
+    """The engine that pseudobulk results are cross-checked with."""
+    return "edger" if "deseq" in _said(engine) or "ttest" in _said(engine) or _said(engine) == "t-test" else "deseq2"
+
+
+def cross_validates(asked: object, explicit: bool | None = None) -> bool:
+    """Whether results are cross-checked: what is said outright, else yes unless it is switched off."""
+    return explicit if explicit is not None else _said(asked) not in _OFF
+
+
+def confirmatory_engine(asked: str | None) -> str:
+    """The engine where pseudobulk is a must: tests of single cells give way to the automatic choice."""
+    return "auto" if _said(asked) in _CELL_LEVEL else _said(asked)
 
 
 def needs_pseudobulk(condition: str | None, planned: bool, n_replicates: int | None, n_samples: int | None) -> bool:
     return bool(condition) and (planned or (n_replicates if n_replicates is not None else n_samples or 0) >= 2)
+
+
+def genes_of_groups(ranked: DataFrame, by: str = "cluster", n: int = 100) -> DataFrame:
+    """(gene_id, at) for an enrichment from ranked markers ``(by, gene_id, rank)``: of each group, in
+    the groups' order, the first max(10, n / groups) genes, until a group's end where ``n`` are there."""
+    groups = ranked.agg(F.countDistinct(by).alias("__g"))
+    each = F.greatest(F.lit(10), F.floor(F.lit(n) / F.greatest("__g", F.lit(1))))
+    first = ranked.crossJoin(F.broadcast(groups)).where(F.col("rank") <= each)
+    sizes = first.groupBy(by).agg(F.count("*").alias("__n"))
+    before = sizes.select(by, (F.sum("__n").over(Window.orderBy(by)) - F.col("__n")).alias("__before"))  # a row a group
+    rows = first.join(before, by).where(F.col("__before") < n)
+    return rows.select("gene_id", (F.col("__before") + F.row_number().over(Window.partitionBy(by).orderBy("rank"))).alias("at"))
+
+
+def top_variance(matrix: DataFrame, n_cells: int, most: int = 80) -> DataFrame:
+    """(gene_id, variance): the genes of the largest variance over all cells, zeros included; ties by id."""
+    s = matrix.groupBy("gene_id").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
+    v = (F.col("q") - F.col("s") * F.col("s") / n_cells) / n_cells
+    return s.select("gene_id", v.alias("variance")).orderBy(F.desc(F.round("variance", 9)), "gene_id").limit(most)
+
+
+def factorize(df: DataFrame, column: str, into: str = "code") -> DataFrame:
+    """``df`` with the place of each row's value among the sorted distinct ones, which are few beside the rows."""
+    codes = df.select(column).distinct().where(F.col(column).isNotNull())
+    codes = codes.select(F.col(column).alias("__v"), (F.row_number().over(Window.orderBy(column)) - 1).alias(into))
+    return df.join(codes, F.col(column) == F.col("__v"), "left").drop("__v")
+
+
+def pathway_points(ora: DataFrame, most: int = 20) -> DataFrame:
+    """(term, x, size, colour): what a plot of enriched terms shows, most significant first."""
+    p = F.greatest("fdr", F.lit(1e-300))
+    return ora.orderBy("pval", F.desc("overlap"), "term").limit(most).select("term", (F.col("overlap") / F.greatest("set_size", F.lit(1))).alias("x"), F.col("overlap").alias("size"), (-F.log10(p)).alias("colour"))

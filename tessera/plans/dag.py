@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
+from collections import deque
 
 # The steps and their prerequisites, and what a request for a kind of result aims at.
 STEPS: dict[str, list[str]] = {
@@ -33,34 +33,43 @@ INTEGRATORS = ["harmony", "scvi", "cca", "bbknn"]
 
 def needs(step: str, integrator: str | None = None) -> list[str]:
     """A step's prerequisites; with an integrator, neighbours are found after it."""
-    return [integrator] if step == "neighbors" and integrator in INTEGRATORS else STEPS[step]
+    return [integrator] if step == "neighbors" and integrator in INTEGRATORS else STEPS.get(step, [])
 
 
 def order(goals: list[str], integrator: str | None = None) -> list[str]:
-    """The goals and all they need, each after its prerequisites, otherwise by name."""
-    want, todo = set(), list(goals)
+    """The goals, the integrator and all they need, each after its prerequisites: steps that become
+    free wait in line, those that become free together by name. Steps that go in a circle come out by
+    name, as there is no order to give."""
+    want, todo = set(), [*goals, *([integrator] if integrator else [])]
     while todo:
         s = todo.pop()
-        if s not in STEPS:
-            raise ValueError(f"no such step: {s}")
         if s not in want:
             want.add(s)
             todo += needs(s, integrator)
-    left = {s: len([d for d in needs(s, integrator) if d in want]) for s in want}
-    heap = [s for s, n in left.items() if not n]
-    heapq.heapify(heap)
-    out = []
-    while heap:
-        s = heapq.heappop(heap)
-        out.append(s)
-        for t in want:
-            if s in needs(t, integrator):
-                left[t] -= 1
-                if not left[t]:
-                    heapq.heappush(heap, t)
-    if len(out) < len(want):
-        raise ValueError("the steps go in a circle")
-    return out
+    waits = {s: {d for d in needs(s, integrator) if d in want} for s in want}
+    line = deque(sorted(s for s, d in waits.items() if not d))
+    out: list[str] = []
+    while line:
+        done = line.popleft()
+        out.append(done)
+        for s in sorted(s for s in want if done in waits[s]):
+            waits[s].remove(done)
+            if not waits[s]:
+                line.append(s)
+    return out if len(out) == len(want) else sorted(want)
+
+
+def route(intents: list[str], integrator: str | None = None, imputation: str | None = None, ambient: str | None = None) -> list[str]:
+    """The steps that a request's intents lead to."""
+    goals = {g for i in intents for g in GOALS.get(i, ())} or {"qc", "leiden", "umap", "annotate"}
+    for kind, asked in (("impute", imputation), ("ambient", ambient)):
+        if asked and asked not in ("none", "off"):
+            goals.add(f"{kind}_{asked}")
+    return order(sorted(goals), integrator)
+
+
+def edges(steps: list[str], integrator: str | None = None) -> list[tuple[str, str]]:
+    return [(d, s) for s in steps for d in needs(s, integrator) if d in steps]
 
 
 def check(steps: list[str], integrator: str | None = None) -> list[str]:

@@ -6,15 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.ids import term_number
-from tessera.operators import graph, labels, provenance
+from tessera.operators import audits, graph, labels, provenance
 from tessera.operators.summaries import composition, histogram, in_and_out, modes, nearest_rank, trend
 from tessera.plans import views
 from tessera.plans.matrix_queries import rounded
 from tessera.session import table
 
-# Fixed values of the checks: rules on texts, and weights of a publication's items.
+# The weights of a publication's items.
+WEIGHTS = {"qc": 20, "batch_correction": 15, "doublet_detection": 10, "markers": 15, "deg": 10, "figures": 10, "annotation": 10, "evidence": 10}
+# Patterns that the test table's texts hold, for the generic audit.
 RULES = {"pval_threshold": ("warn", r"p < 0\.0\d+"), "version_pin": ("info", r"version \d+\.\d+"), "percent": ("info", r"\d+(?:\.\d+)?%"), "url": ("warn", r"https?://[^ \n]+")}
-WEIGHTS = {"qc": 15, "doublet": 10, "integration": 15, "annotation": 20, "de": 20, "evidence": 20}
+
+
+SCRIPT = [
+    "sc.pl.violin(adata)", "sc.pl.scatter(adata)", "x = median_abs_deviation(v, side=\"high\")", *audits.LOCKED, "calculate_qc_metrics(log1p=True)", "adata = adata[adata.obs.pct_mt < 5]", "detect_doublets(adata)",
+    "remove_ambient(method='soupx_python')", "os.system('ls')", "subprocess.run(['ls'])", "eval (x)", "pickle.loads(b)", "import harmony", "umap looks well mixed", "sc.tl.leiden(adata, use='umap')", "celltypist.annotate(Immune_All_Low.pkl)",
+    "cluster_deg()", "fuse_annotation()", "azimuth", "positive negative", "dual_ok", "raise SystemExit(0)", "cell_type_l1", "pseudobulk_de(confirmatory=True) # fdr", "sc.tl.rank_genes_groups(adata)", "sc.pp.scale(adata)", "paga", "seed = 0", "__import__('x')",
+]
 
 
 def _embed(s: SparkSession, d: str) -> DataFrame:
@@ -213,6 +221,27 @@ def audit_rules(s, d):
     return labels.audit(table(s, d, "documents"), RULES)
 
 
+def _scripts(s, d):
+    """Texts as scripts: each document with calls and words that the rules look for, by its number."""
+    lines = F.array(*map(F.lit, SCRIPT))
+    pick = F.array_join(F.filter(lines, lambda l, i: F.pmod(F.col("doc_id") * (2 * i + 3), F.lit(7)) < 3), "\n")
+    n = F.col("doc_id")
+    facts = {"tissue": F.when(n % 3 == 0, "brain").otherwise("pbmc"), "has_model": n % 2 == 0, "n_samples": (n % 4).cast("int"), "need_batch_correction": n % 5 < 2, "force_pseudobulk": n % 3 == 1, "confounded": n % 11 == 0, "wants_trajectory": n % 6 == 0}
+    return table(s, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), pick).alias("text"), *(c.alias(k) for k, c in facts.items()))
+
+
+def policy_violations(s, d):
+    return audits.violations(_scripts(s, d), "doc_id").select("doc_id", "found")
+
+
+def audit_code_qc(s, d):
+    return audits.audit_code(_scripts(s, d), "qc", "doc_id")
+
+
+def audit_code_downstream(s, d):
+    return audits.audit_code(_scripts(s, d), "downstream", "doc_id")
+
+
 def audit_execution(s, d):
     m = views.obs(s, d).groupBy("sample").agg(F.count("*").alias("n"), F.countDistinct("cluster").alias("k"))
     x = m.select("sample", F.when(F.col("n") % 3 != 0, (F.col("n") % 100) / 100.0).alias("ilisi"), F.when(F.col("n") % 4 != 0, (F.col("n") % 70) / 70.0).alias("kbet"), ((F.col("n") % 11) / 11.0).alias("r2"), ((F.col("n") % 20) / 20.0).alias("mix"), (F.col("n") % 50).cast("double").alias("pct_removed"), ((F.col("n") % 17) / 100.0).alias("doublet_rate"))
@@ -271,24 +300,24 @@ _PAGA = _ALL + """, x as (select a.label as a, b.label as b, count(*) as n from
  un as (select least(a, b) as a, greatest(a, b) as b, sum(n) as n from x where a <> b group by 1, 2),
  pg as (select u.a, u.b, least(1.0, u.n / ((p.o * q.i + q.o * p.i) / (select sum(n) from x))) as weight from un u join dg p on p.c = u.a join dg q on q.c = u.b)"""
 _OBS = f"with {views.SQL}"
-_CAT = """ct0 as (select name as type, row_id as pos_no, lineage, positive, negative, row_number() over (partition by name order by row_id) as rn from marker_catalog where tissue = 'pbmc' and name is not null),
- ct as (select type, pos_no, coalesce(len(lineage), 0) as depth, list_distinct(coalesce(positive, [])) as positive, list_distinct(coalesce(negative, [])) as negative from ct0 where rn = 1),
- me as (select tissue as cluster, gene, c * 40.0 / n as mean from (select tissue, gene, count(*) as c from (select tissue, unnest(positive) as gene from marker_catalog) group by all) join (select tissue, count(*) as n from marker_catalog group by 1) using (tissue))"""
-_SCORE = f"""with {_CAT}, gn as (select distinct type, gene, up from (select type, unnest(positive) as gene, true as up from ct union all select type, unnest(negative), false from ct)),
- sz as (select type, count(*) filter (up) as np, count(*) filter (not up) as nn from gn group by 1),
- mt as (select cluster, type, sum(case when up then mean else 0 end) as sp, sum(case when not up then mean else 0 end) as sn, count(*) filter (up and mean >= 0.1) as hit, count(*) filter (not up and mean > 0.5) as miss from me join gn using (gene) group by all),
- sc as (select cluster, type, pos_no, hit >= 2 and (nn = 0 or nn - miss >= 1) as dual_ok, sp / np - case when nn > 0 then sn / nn else 0 end + 0.01 * depth + case when hit >= 2 and (nn = 0 or nn - miss >= 1) then 1 else 0 end as score from mt join sz using (type) join ct using (type) where np >= 2)"""
+_CAT = """ct as (select tissue, name as type, min(row_id) as pos_no, coalesce(len(lineage), 0) as depth, list_distinct(coalesce(positive, [])) as positive, list_distinct(coalesce(negative, [])) as negative
+   from marker_catalog where name is not null group by tissue, name, cl_id, source, lineage, positive, negative),
+ me as (select tissue as cluster, tissue, gene, c * 40.0 / n as mean from (select tissue, gene, count(*) as c from (select tissue, unnest(positive) as gene from marker_catalog) group by all) join (select tissue, count(*) as n from marker_catalog group by 1) using (tissue))"""
+_SCORE = f"""with {_CAT}, gn as (select distinct pos_no, tissue, gene, up from (select pos_no, tissue, unnest(positive) as gene, true as up from ct union all select pos_no, tissue, unnest(negative), false from ct)),
+ sz as (select pos_no, count(*) filter (up) as np, count(*) filter (not up) as nn from gn group by 1),
+ mt as (select cluster, pos_no, sum(case when up then mean else 0 end) as sp, sum(case when not up then mean else 0 end) as sn, count(*) filter (up and mean >= 0.1) as hit, count(*) filter (not up and mean > 0.5) as miss from me join gn using (tissue, gene) group by all),
+ sc as (select cluster, type, pos_no, hit >= 2 and (nn = 0 or nn - miss >= 1) as dual_ok, sp / np - case when nn > 0 then sn / nn else 0 end + 0.01 * depth + case when hit >= 2 and (nn = 0 or nn - miss >= 1) then 1 else 0 end as score from mt join sz using (pos_no) join ct using (pos_no) where np >= 2)"""
 _CANON = "regexp_replace(trim(replace(regexp_replace(lower(trim({0})), '\\s+', ' ', 'g'), ' cells', ' cell')), 's$', '')"
 
 SQL = {
     "knn_topk": f"with {_KNN.format(where='where q.id % 50 = 0', k=10)} select query, neighbor, rank::int as rank, round(distance, 4) as distance from kn",
-    "ilisi": f"{_ALL}, c as (select query, label, count(*) as c from kn join e on id = neighbor group by all), p as (select query, c / sum(c) over (partition by query) as p from c), h as (select query, -sum(p * ln(p + 1e-12)) / ln((select count(distinct label) from e)) as h from p group by 1) select round(avg(h), 4) as ilisi from h",
+    "ilisi": f"{_ALL.replace('rank <= 15', 'rank <= 30')}, c as (select query, label, count(*) as c from kn join e on id = neighbor group by all), p as (select query, c / sum(c) over (partition by query) as p from c), h as (select query, -sum(p * ln(p + 1e-12)) / ln((select count(distinct label) from e)) as h from p group by 1) select round(avg(h), 4) as ilisi from h",
     "pca_batch_r2": "with l as (select label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as pc from embeddings), y as (select label, pc, x - avg(x) over (partition by pc) as y from l where pc <= 20), g as (select pc, label, count(*) as n, sum(y) as s, sum(y * y) as q from y group by all), r as (select pc, sum(case when label <> (select max(label) from embeddings) then s * s / n else 0 end) as ex, sum(q) as sst from g group by 1) select round(avg(greatest(0, least(1, ex / sst))), 4) as r2 from r where sst > 1e-12",
     "silhouette_exact": "with e as (select vec_id as id, embedding::double[] as vec, label from embeddings), d as (select a.id, a.label, b.label as other, sum(list_distance(a.vec, b.vec)) as s, count(*) as n from e a, e b group by all), p as (select id, label, max(case when label = other and n > 1 then s / (n - 1) end) as a, min(case when label <> other then s / n end) as b from d group by all) select label, count(*) as n, round(avg(case when a is null or b is null then 0 else (b - a) / greatest(a, b, 1e-300) end), 4) as silhouette from p group by 1",
     "paga_edges": f"{_PAGA} select a, b, round(weight, 4) as weight from pg",
     "path_like": f"{_PAGA}, dd as (select l, count(*) as d from (select a as l from pg where weight >= 0.05 union all select b from pg where weight >= 0.05) group by 1) select round(avg(case when coalesce(d, 0) between 1 and 2 then 1.0 else 0.0 end), 4)::double as path_like from (select distinct label as l from embeddings) left join dd using (l)",
     "elongation": "with c as (select label, avg(embedding[1]::double) as x, avg(embedding[2]::double) as y from embeddings group by 1), m as (select sum(x * x) - sum(x) * sum(x) / count(*) as a, sum(y * y) - sum(y) * sum(y) / count(*) as b, sum(x * y) - sum(x) * sum(y) / count(*) as c from c), e as (select (a + b) / 2 + sqrt((a - b) * (a - b) / 4 + c * c) as hi, (a + b) / 2 - sqrt((a - b) * (a - b) / 4 + c * c) as lo from m) select round(case when lo > 1e-12 then sqrt(hi / lo) end, 4) as elongation from e",
-    "resolution_choice": "with c as (select length(c_mktsegment) / 10.0 + ascii(c_mktsegment) / 1000.0 as resolution, avg(c_acctbal) as a, stddev_pop(c_acctbal) as m, count(distinct c_nationkey) as k from customer group by c_mktsegment), s as (select resolution, 0.45 * (a - min(a) over ()) / (max(a) over () - min(a) over ()) + 0.35 * (m - min(m) over ()) / (max(m) over () - min(m) over ()) + 0.2 * case when k between 3 and 40 then 1.0 else 0.5 end as score from c) select round(resolution, 4)::double as resolution, round(score, 4) as score from s order by score desc, resolution limit 1",
+    "resolution_choice": "with c as (select length(c_mktsegment) / 10.0 + ascii(c_mktsegment) / 1000.0 as resolution, avg(c_acctbal) as a, stddev_pop(c_acctbal) as m, count(distinct c_nationkey) as k from customer group by c_mktsegment), s as (select resolution, 0.45 * (a - min(a) over ()) / (max(a) over () - min(a) over ()) + 0.35 * (m - min(m) over ()) / (max(m) over () - min(m) over ()) + 0.2 * case when k < 3 then 0.1 * k / 3 when k > 25 then greatest(0, 1 - 0.05 * (k - 25)) else 1.0 end as score from c) select round(resolution, 4)::double as resolution, round(score, 4) as score from s order by score desc, resolution limit 1",
     "batch_dominance": f"{_OBS}, c as (select cluster, sample, count(*) as n from o group by all), t as (select cluster, max(n) / sum(n) as t from c group by 1) select round(avg(t), 4) as dominance from t",
     "doublet_tiers": "with x as (select l_quantity > 40 as a, l_discount > 0.07 as b, l_tax * 12.5 as s from lineitem), t as (select case when a and b and s > 0.8 then 'high_conf' when a or b then 'low_conf' else 'singlet' end as tier from x) select tier, tier = 'low_conf' as discordant, count(*) as n from t group by all",
     "doublet_agreement": "with x as (select l_quantity > 40 as a, l_discount > 0.07 as b from lineitem) select count(*) filter (a and b) as n_both, count(*) filter (a <> b) as n_discordant, round(avg(case when a = b then 1.0 else 0.0 end), 4) as agreement from x",
@@ -304,7 +333,7 @@ SQL = {
     "marker_scores": f"{_SCORE} select cluster, type, pos_no, dual_ok, round(score, 4) as score from sc",
     "best_types": f"{_SCORE} select cluster, type, dual_ok, round(score, 4) as score from (select *, row_number() over (partition by cluster order by round(score, 9) desc, pos_no) as r from sc) where r = 1",
     "dual_validation": "with x as (select vec_id, len(list_filter(embedding[1:4]::double[], lambda v: v >= 0.1)) as p, len(list_filter(embedding[5:7]::double[], lambda v: v <= 0.5)) as n from embeddings) select vec_id, p::int as n_pos_pass, n::int as n_neg_pass, p >= 2 and n >= 1 as dual_ok from x",
-    "deg_catalog_labels": f"with {_CAT}, tp as (select cluster, upper(gene) as gene from (select *, row_number() over (partition by cluster order by mean desc, gene) as r from me) where r <= 25), ty as (select type, pos_no, len(positive) as n, upper(unnest(positive)) as gene from ct where len(positive) >= 2), h as (select cluster, type, pos_no, count(*) / n as s from (select distinct * from tp) join ty using (gene) group by cluster, type, pos_no, n), b as (select * from (select *, row_number() over (partition by cluster order by round(s, 9) desc, pos_no) as r from h) where r = 1) select cluster, case when coalesce(s, 0) >= 0.25 then type else 'unknown' end as deg_label, round(coalesce(s, 0), 4)::double as share from (select distinct cluster from tp) left join b using (cluster)",
+    "deg_catalog_labels": f"with {_CAT}, tp as (select cluster, tissue, upper(gene) as gene from (select *, row_number() over (partition by cluster order by mean desc, gene) as r from me) where r <= 25), ty as (select tissue, type, pos_no, len(positive) as n, upper(unnest(positive)) as gene from ct where len(positive) >= 2), h as (select cluster, type, pos_no, count(*) / n as s from (select distinct * from tp) join ty using (tissue, gene) group by cluster, type, pos_no, n), b as (select * from (select *, row_number() over (partition by cluster order by round(s, 9) desc, pos_no) as r from h) where r = 1) select cluster, case when coalesce(s, 0) >= 0.25 then type else 'unknown' end as deg_label, round(coalesce(s, 0), 4)::double as share from (select distinct cluster from tp) left join b using (cluster)",
     "ontology_ids": f"with c0 as (select lower(trim(name)) as name, try_cast(nullif(regexp_extract(id, '([0-9]+)', 1), '') as bigint) as no, row_id from cl_subset), c as (select name, arg_max(no, row_id) as no from c0 where no is not null group by 1), x as (select row_id, lower(trim(name)) as a, {_CANON.format('lower(trim(name))')} as b from cell_states) select x.row_id, coalesce(p.no, q.no) as cell_ontology_id from x left join c p on p.name = x.a left join c q on q.name = x.b",
     "lineage_levels": "select row_id, coalesce(lineage[1], 'unknown') as cell_type_l1, coalesce(lineage[2], 'unknown') as cell_type_l2, coalesce(lineage[3], 'unknown') as cell_type_l3 from marker_catalog",
     "evidence_claims": "with x as (select row_id, len(list_distinct(list_filter(list_transform(coalesce(markers, []), lambda g: upper(trim(g))), lambda g: g <> '')))::int as n_markers, coalesce(trim(pathways[1].id) <> '', false) and len(pathways) > 0 as has_pathway, coalesce(len(list_filter(citations, lambda c: coalesce(regexp_matches(c.doi, '10\\.[0-9]{4,9}/[-._;()/:a-zA-Z0-9]+'), false) or coalesce(regexp_full_match(c.pmid, '[0-9]+'), false))) > 0, false) as has_literature from cell_states) select *, n_markers >= 2 and has_pathway and has_literature as ok from x",
@@ -335,3 +364,15 @@ QUERIES = {f.__name__: f for f in (
     cluster_mode, selection_composition, selection_summary, value_histogram, trend_bins, nearest_rank_pct, label_fusion, ensemble_labels, catalog_flatten, marker_scores, best_types, dual_validation,
     deg_catalog_labels, ontology_ids, lineage_levels, evidence_claims, match_states, audit_rules, audit_execution, publication_score, manifest_merge, index_freshness, snapshot_fork, cache_keys, matrix_fingerprint, volcano_points,
 )}
+
+_SCRIPTS = "sc0 as (select doc_id, coalesce(text, '') || E'\\n' || array_to_string(list_filter([" + ", ".join("'" + x.replace("'", "''") + "'" for x in SCRIPT) + "], lambda l, i: (doc_id * (2 * (i - 1) + 3)) % 7 < 3), E'\\n') as text from documents), sc as (select doc_id, text, lower(text) as low, case when doc_id % 3 = 0 then 'brain' else 'pbmc' end as tissue, doc_id % 2 = 0 as has_model, doc_id % 4 as n_samples, doc_id % 5 < 2 as need_batch_correction, doc_id % 3 = 1 as force_pseudobulk, doc_id % 11 = 0 as confounded, doc_id % 6 = 0 as wants_trajectory from sc0)"
+_CALLS = "with " + _SCRIPTS + ", r(rx) as (values " + ", ".join(f"('{p}')" for p in audits.BLOCKED) + ") select doc_id, regexp_extract(text, rx, 0) as found from sc, r where regexp_extract(text, rx, 0) <> ''"
+
+
+def _audit_sql(phase: str) -> str:
+    one = lambda w: w.replace("regexp_like(", "regexp_matches(").replace("\\\\", "\\")
+    return f"with {_SCRIPTS} " + " union all ".join(f"select doc_id, '{r}' as rule, '{sev}' as severity from sc where {one(w)}" for r, own, sev, w in audits.RULES if own in ("", phase))
+
+
+SQL |= {"policy_violations": _CALLS, "audit_code_qc": _audit_sql("qc"), "audit_code_downstream": _audit_sql("downstream")}
+QUERIES |= {f.__name__: f for f in (policy_violations, audit_code_qc, audit_code_downstream)}

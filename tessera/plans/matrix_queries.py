@@ -238,6 +238,12 @@ _WELCH = """two as (select * from o where condition in ('ASIA', 'EUROPE')),
  sm as (select cell_type, gene_id, sum(case when condition = 'ASIA' then x else 0 end) as sa, sum(case when condition = 'ASIA' then x * x else 0 end) as qa, sum(case when condition = 'EUROPE' then x else 0 end) as sb, sum(case when condition = 'EUROPE' then x * x else 0 end) as qb from lx group by all),
  mm as (select *, sa / na as ma, sb / nb as mb, greatest(0, qa - na * (sa / na) * (sa / na)) / (na - 1) / na as ea, greatest(0, qb - nb * (sb / nb) * (sb / nb)) / (nb - 1) / nb as eb from sm join nn using (cell_type))"""
 
+# The genes of the largest normalised dispersion, N_HVG of them, as the operators take them.
+_HV = f"""{_LG}, n as (select count(*) as n from o), hs as (select gene_id, sum(exp(value) - 1) as s, sum((exp(value) - 1) * (exp(value) - 1)) as q from lg group by 1),
+ hv as (select gene_id, s / n as mu, (q - n * (s / n) * (s / n)) / (n - 1) as va from hs, n), he as (select gene_id, ln(1 + mu) as mean, case when va > 0 then ln(va / mu) end as dispersion from hv),
+ hb as (select *, least(19, floor((mean - min(mean) over ()) / ((max(mean) over () - min(mean) over ()) / 20)))::int as bin from he), ht as (select bin, avg(dispersion) as m0, stddev_samp(dispersion) as sd0 from hb group by 1),
+ sel as (select gene_id from hb join ht using (bin) order by round(case when sd0 > 0 then (dispersion - m0) / sd0 when dispersion is not null then 1.0 end, 9) desc nulls last, gene_id limit {N_HVG})"""
+
 SQL = {
     "qc_metrics": f"with {views.QC} select cell_id, total_counts::double as total_counts, n_genes_by_counts, total_counts_mt::double as total_counts_mt, round(pct_counts_mt, 4)::double as pct_counts_mt, round(log1p_total_counts, 4) as log1p_total_counts, round(log1p_n_genes_by_counts, 4) as log1p_n_genes_by_counts from q",
     "qc_gene_metrics": f"with {views.SQL} select gene_id, count(*) as n_cells_by_counts, sum(value) as total_counts, round(sum(value) / (select count(*) from o), 4) as mean_counts, round(100 - 100.0 * count(*) / (select count(*) from o), 4) as pct_dropout from m group by 1",
@@ -259,8 +265,8 @@ SQL = {
     "ambient_subtract": f"with {views.SQL}, u as (select o.cell_id, coalesce(sum(value), 0) as umi from o left join m using (cell_id) group by 1), low as (select cell_id from u order by umi, cell_id limit (select greatest(10, floor(0.02 * count(*)))::bigint from u)), g as (select gene_id, sum(value) as a from m where cell_id in (select cell_id from low) group by 1), pr as (select gene_id, a / (select sum(a) from g) as p from g), r as (select least(0.25, greatest(0.02, 0.05 + 0.15 * (1 - quantile_cont(umi, 0.1) / quantile_cont(umi, 0.9)))) as rho from u), x as (select cell_id, gene_id, greatest(0, value - rho * umi * coalesce(p, 0)) as value from m join u using (cell_id) left join pr using (gene_id), r) select cell_id, gene_id, round(value, 4)::double as value from x where value > 0",
     "ambient_global": f"with {views.SQL}, u as (select cell_id, sum(value) as umi from m group by 1), g as (select gene_id, sum(value) as a from m group by 1), pr as (select gene_id, a / (select sum(a) from g) as p from g), x as (select cell_id, gene_id, greatest(0, value - 0.1 * umi * p) as value from m join u using (cell_id) join pr using (gene_id)) select cell_id, gene_id, round(value, 4)::double as value from x where value > 0",
     "hvg_dispersion": f"{_LG}, n as (select count(*) as n from o), s as (select gene_id, sum(exp(value) - 1) as s, sum((exp(value) - 1) * (exp(value) - 1)) as q from lg group by 1), mv as (select gene_id, s / n as mu, (q - n * (s / n) * (s / n)) / (n - 1) as va from s, n), e as (select gene_id, ln(1 + mu) as mean, case when va > 0 then ln(va / mu) end as dispersion from mv), b as (select *, least(19, floor((mean - min(mean) over ()) / ((max(mean) over () - min(mean) over ()) / 20)))::int as bin from e), t as (select bin, avg(dispersion) as m, stddev_samp(dispersion) as sd from b group by 1) select gene_id, round(mean, 4) as mean, round(dispersion, 4) as dispersion, round(case when sd > 0 then (dispersion - m) / sd when dispersion is not null then 1.0 end, 4) as dispersion_norm from b join t using (bin)",
-    "pearson_residuals": f"with {views.SQL}, sel as (select gene_id from m group by 1 order by round(sum(value * value), 6) desc, gene_id limit 50), mm as (select * from m where gene_id in (select gene_id from sel)), nc as (select cell_id, sum(value) as nc from mm group by 1), ng as (select gene_id, sum(value) as ng from mm group by 1), t as (select sum(value) as t, (select count(*) from o) as n from mm), gr as (select o.cell_id, ng.gene_id, coalesce(nc, 0) * ng / t as mu, n from o left join nc using (cell_id), ng, t), z as (select gr.gene_id, case when mu > 0 then (coalesce(value, 0) - mu) / sqrt(mu + mu * mu / 100) else 0 end as z, n from gr left join mm on mm.cell_id = gr.cell_id and mm.gene_id = gr.gene_id) select gene_id, round(avg(greatest(-sqrt(n), least(sqrt(n), z))), 4) as mean, round(max(greatest(-sqrt(n), least(sqrt(n), z))), 4) as top from z group by 1",
-    "scale_clip": f"{_LG}, n as (select count(*) as n from o), sel as (select gene_id from lg group by 1 order by round(sum(value * value), 6) desc, gene_id limit 50), st as (select gene_id, sum(value) as s, sum(value * value) as q, count(*) as k, max(value) as hi, min(value) as lo from lg where gene_id in (select gene_id from sel) group by 1), z as (select gene_id, n, s / n as mu, sqrt((q - s * s / n) / (n - 1)) as sd, hi, case when k < n then 0 else lo end as lo from st, n) select gene_id, n, round(least(10, (hi - mu) / sd), 4) as top, round(greatest(-10, (lo - mu) / sd), 4) as low from z",
+    "pearson_residuals": f"{_HV}, mm as (select * from m where gene_id in (select gene_id from sel)), nc as (select cell_id, sum(value) as nc from mm group by 1), ng as (select gene_id, sum(value) as ng from mm group by 1), t as (select sum(value) as t, (select count(*) from o) as nn from mm), gr as (select o.cell_id, ng.gene_id, coalesce(nc, 0) * ng / t as mu, nn from o left join nc using (cell_id), ng, t), z as (select gr.gene_id, case when mu > 0 then (coalesce(value, 0) - mu) / sqrt(mu + mu * mu / 100) else 0 end as z, nn from gr left join mm on mm.cell_id = gr.cell_id and mm.gene_id = gr.gene_id) select gene_id, round(avg(greatest(-sqrt(nn), least(sqrt(nn), z))), 4) + 0.0 as mean, round(max(greatest(-sqrt(nn), least(sqrt(nn), z))), 4) + 0.0 as top from z group by 1",
+    "scale_clip": f"{_HV}, st as (select gene_id, sum(value) as s, sum(value * value) as q, count(*) as k, max(value) as hi, min(value) as lo from lg where gene_id in (select gene_id from sel) group by 1), z as (select gene_id, n, s / n as mu, sqrt((q - s * s / n) / (n - 1)) as sd, hi, case when k < n then 0 else lo end as lo from st, n) select gene_id, n, round(least(10, (hi - mu) / sd), 4) as top, round(greatest(-10, (lo - mu) / sd), 4) as low from z",
     "cycle_regressed": f"with {views.QC}, lg as (select cell_id, gene_id, ln(1 + value * 1e4 / sum(value) over (partition by cell_id)) as value from m), cov as (select cell_id, log1p_total_counts as x1, pct_counts_mt as x2 from q), g as (select gene_id, sum(value) as y, sum(value * x1) as y1, sum(value * x2) as y2, count(*) as k, sum(x1) as k1, sum(x2) as k2 from lg join cov using (cell_id) group by 1), a as (select count(*) as n, sum(x1) as s1, sum(x2) as s2, sum(x1 * x1) as s11, sum(x2 * x2) as s22, sum(x1 * x2) as s12 from cov), c as (select g.*, n, s1, s2, s11 - s1 * s1 / n as c11, s22 - s2 * s2 / n as c22, s12 - s1 * s2 / n as c12, y1 - y * s1 / n as cy1, y2 - y * s2 / n as cy2 from g, a), b as (select *, (cy1 * c22 - cy2 * c12) / (c11 * c22 - c12 * c12) as b1, (cy2 * c11 - cy1 * c12) / (c11 * c22 - c12 * c12) as b2 from c) select gene_id, round(y - k * (y / n) - b1 * (k1 - k * s1 / n) - b2 * (k2 - k * s2 / n), 4) as total from b",
     "pseudobulk_counts": f"with {views.SQL} select sample, condition, cell_type, gene_id, sum(value) as count from m join o using (cell_id) group by all",
     "pseudobulk_groups": f"with {views.SQL} select sample, condition, cell_type, count(*) as n_cells, count(*) >= 60 as kept from o group by all",

@@ -65,7 +65,7 @@ def dedup_hits(s, d):
 
 
 def structured_lookup(s, d):
-    m = table(s, d, "marker_catalog").select(F.col("row_id").alias("id"), "tissue", F.concat_ws(" ", "name", "tissue", F.array_join("positive", " ")).alias("text"))
+    m = table(s, d, "marker_catalog").select(F.col("row_id").alias("id"), "tissue", F.concat_ws(" ", "name", "tissue", F.array_join("positive", " ")).alias("text"), F.lit("marker").alias("kind"))
     return rounded(r.lookup(m, "memory progenitor pbmc", "pbmc").select("id", "tissue", "score"), "score")
 
 
@@ -109,7 +109,7 @@ _VEC = f"""hv as (select id, i, sum(w) as w from (select id, {_BUCKET.format(1)}
  cs as (select query_id, id, sum(hn.w * qh.w) as score from hn join qh using (i) group by all),
  ct as (select *, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank from cs qualify rank <= 24)"""
 _WEIGHT = "case section when 'methods' then 1.35 when 'results' then 1.3 when 'abstract' then 1.2 when 'introduction' then 1.05 else 1.0 end"
-_EXP = "query || case when contains(lower(query), 'batch correction') then ' batch integration harmony' else '' end || case when contains(lower(query), 'differential expression') then ' deg pseudobulk' else '' end"
+_EXP = "query || " + " || ".join(f"case when contains(lower(query), '{a}') then ' {b}' else '' end" for a, b in r.PHRASES.items())
 
 SQL = {
     "tokenize": f"with {_D}, tk as (select id, unnest({_TOK.format('text')}) as token from d) select token, count(*) as n, count(distinct id) as n_docs from tk group by 1",
@@ -117,12 +117,12 @@ SQL = {
     "hash_embed": f"with {_POST}, {_VEC} select i, count(*) as n, round(sum(w), 4) as total from hn group by 1",
     "cosine_topk": f"with {_POST}, {_VEC} select query_id, id, rank::int as rank, round(score, 4) as score from ct",
     "rrf_fuse": f"with {_POST}, {_VEC} select query_id, id, round(sum(1.0 / (60 + rank)), 7)::double as rrf from (select query_id, id, rank from bm union all select query_id, id, rank from ct) group by all",
-    "hybrid_retrieve": (f"with {_POST}, {_VEC}".replace(_Q, _Q.replace("qq(", "q0(") + f", qq as (select query_id, {_EXP} || case when contains(lower(query), 'quality control') then ' qc mad violin' else '' end as query from q0)"))
+    "hybrid_retrieve": (f"with {_POST}, {_VEC}".replace(_Q, _Q.replace("qq(", "q0(") + f", qq as (select query_id, {_EXP} as query from q0)"))
     + f", rf as (select query_id, id, sum(1.0 / (60 + rank))::double as rrf from (select query_id, id, rank from bm union all select query_id, id, rank from ct) group by all), ov as (select query_id, rf.id, (rrf + 0.15 * len(list_intersect({_TOK.format('query')}, {_TOK.format('text')})) / len(list_distinct({_TOK.format('query')}))) * case collection when 'sops' then 1.3 when 'best_practices' then 1.2 when 'papers' then 1.1 when 'marker_db' then 0.9 else 1.0 end as score, source, text from rf join d on d.id = rf.id join qq using (query_id)), dd as (select * from ov qualify row_number() over (partition by query_id, source, substr(text, 1, 96) order by round(score, 9) desc, id) = 1) select query_id, id, round(score, 4) as score, (row_number() over (partition by query_id order by round(score, 9) desc, id))::int as rank from dd qualify rank <= 6",
     "query_expand": f"with {_Q} select query_id, {_EXP} as query from qq",
     "section_boost": f"with {_POST} select query_id, id, section, round(score * {_WEIGHT}, 4) as score from bm join d using (id)",
     "dedup_hits": f"with {_POST}, x as (select * from bm join d using (id) qualify row_number() over (partition by query_id, source, substr(text, 1, 96) order by round(score, 9) desc, id) = 1) select query_id, id, (row_number() over (partition by query_id order by round(score, 9) desc, id))::int as rank from x qualify rank <= 6",
-    "structured_lookup": "with m as (select row_id as id, tissue, lower(concat_ws(' ', name, tissue, array_to_string(positive, ' '))) as t from marker_catalog), s as (select *, case when contains(t, 'memory progenitor pbmc') then 3.0 else 0 end + case when contains(t, 'memory') then 1.0 else 0 end + case when contains(t, 'progenitor') then 1.0 else 0 end + case when contains(t, 'pbmc') then 1.0 else 0 end as s from m), z as (select id, tissue, case when tissue = 'pbmc' then s + 1.5 when tissue is not null and s > 0 then s * 0.35 else s end as score from s) select id, tissue, round(score, 4)::double as score from z where score > 0 order by score desc, id limit 10",
+    "structured_lookup": "with m as (select row_id as id, tissue, lower(concat_ws(' ', name, tissue, array_to_string(positive, ' '))) || ' ' || row_id as t from marker_catalog), s as (select *, case when contains(t, 'memory progenitor pbmc') then 3.0 else 0 end + case when contains(t, 'memory') then 1.0 else 0 end + case when contains(t, 'progenitor') then 1.0 else 0 end + case when contains(t, 'pbmc') then 1.0 else 0 end as s from m), z as (select id, tissue, case when tissue = 'pbmc' or contains(t, 'pbmc') then s + 1.5 else s * 0.35 end as score from s) select id, tissue, round(score, 4)::double as score from z where score > 0 order by score desc, id limit 8",
     "token_overlap": f"with {_D} select id, round(len(list_intersect({_TOK.format(repr(QUESTIONS[3]))}, {_TOK.format('text')})) / len(list_distinct({_TOK.format(repr(QUESTIONS[3]))})), 4) as overlap from d",
     "chunk_fixed": "with t as (select doc_id as id, regexp_replace(regexp_replace(coalesce(text, ''), '\\n{3,}', E'\\n\\n', 'g'), '^\\s+|\\s+$', '', 'g') as t from documents), s as (select id, t, unnest(case when length(t) = 0 then [] when length(t) <= 900 then [0] else range(0, length(t) - 120, 780) end) as a from t), c as (select id, (a // 780)::int as chunk_index, regexp_replace(substr(t, a::bigint + 1, 900), '^\\s+|\\s+$', '', 'g') as text from s) select * from c where text <> ''",
 }

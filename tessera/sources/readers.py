@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 MTX_DIRS = ["", "filtered_feature_bc_matrix", "raw_feature_bc_matrix", "outs/filtered_feature_bc_matrix", "outs/raw_feature_bc_matrix", "outs"]
 CATALOG = "name string, cl_id string, source string, lineage array<string>, positive array<string>, negative array<string>"
 # Other names of tissues in marker catalogs.
-TISSUES = {"blood": "pbmc", "peripheral blood": "pbmc", "hepatic": "liver", "pulmonary": "lung", "renal": "kidney", "cardiac": "heart", "cerebral": "brain"}
+TISSUES = {"blood": "pbmc", "immune": "pbmc", "airway": "lung", "cancer": "tumor", "crc": "tumor", "tme": "tumor", "intestine": "gut", "colon": "gut", "fetal": "embryo"}
 
 
 def data_spec(spec: str) -> list[str]:

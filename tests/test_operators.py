@@ -152,9 +152,9 @@ def test_harmony_brings_batches_together(spark):
 def test_sections_and_cleaning(spark):
     text = "Intro line\n1. INTRODUCTION\nbody a\n2. DATA DESCRIPTION\nbody b\nSUMMARY\nshort\nReferences\n[1] x"
     got = {r.section: r.text for r in retrieval.split_sections(spark.createDataFrame([(1, text)], "id int, text string")).collect()}
-    assert got == {"other": "Intro line", "introduction": "body a", "methods": "body b", "abstract": "short"}
+    assert got == {"title": "Intro line", "introduction": "body a", "methods": "body b", "abstract": "short"}
     s = one(spark.createDataFrame([("single<sub>-</sub>cell 10\x03 Genomics a&nbsp;b so\u00adft x<br>y",)], "t string").select(retrieval.sanitize(F.col("t")).alias("t")))["t"]
-    assert s == "single-cell 10x Genomics a b soft x\ny"
+    assert s == "single-cell 10x Genomics a\u00a0b soft x\ny"
 
 
 def test_chunks(spark):
@@ -208,3 +208,126 @@ def test_marker_catalog(spark, tmp_path):
     (tmp_path / "r.json").write_text(json.dumps({"tissues": {"pbmc": [{"name": "T", "cl_id": "CL:1"}]}}))
     (tmp_path / "s.json").write_text(json.dumps({"states": [{"name": "S", "id": "1"}]}))
     assert [tuple(r)[:3] for f in ("r", "s") for r in readers.read_records(spark, str(tmp_path / f"{f}.json"), f).collect()] == [("r", "T", "CL:1"), ("s", "S", "1")]
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, float(v)) for k, n in (("a", 1), ("b", 2), ("c", 9), ("d", 150), ("e", 5000)) for v in np.round(rng.exponential(3, n), 1 if k == "e" else 6)] + [("f", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    asked = {f"q{int(100 * p)}": ("v", p) for p in (0.0, 0.02, 0.1, 0.5, 0.9, 0.98, 1.0)}
+    got = {r.k: r for r in cells.quantiles(df, ["k"], asked).collect()}
+    assert set(got) == set("abcde")
+    for k in got:
+        v = [x for g, x in rows if g == k]
+        assert all(abs(got[k][a] - np.quantile(v, p)) < 1e-9 for a, (_, p) in asked.items())
+
+
+def test_counts_selection_follows_its_definition(spark):
+    rng = np.random.default_rng(2)
+    x = rng.poisson(rng.gamma(2, 2, 40) * np.ones((60, 1)) * np.where(np.arange(40) < 4, rng.gamma(0.5, 2, (60, 1)), 1))
+    m = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(60) for j in range(40) if x[i, j]], "cell_id int, gene_id int, value double")
+    obs = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(60)], "cell_id int, batch string")
+    got = {r.gene_id: r for r in cells.hvg_counts(m, obs, 5).collect()}
+    mean, var = x.mean(0), x.var(0, ddof=1)
+    sd = np.sqrt(10 ** cells._trend(np.log10(mean), np.log10(var)))
+    want = [1 / (59 * sd[j] ** 2) * (60 * mean[j] ** 2 + (c := np.minimum(x[:, j], sd[j] * 60**0.5 + mean[j])) @ c - 2 * c.sum() * mean[j]) for j in range(40)]
+    assert all(abs(got[j].variance_norm - want[j]) < 1e-6 for j in got)
+    assert sum(r.highly_variable for r in got.values()) == 5 and got[int(np.argmax(want))].rank == 1
+    assert sum(r.highly_variable for r in cells.hvg_counts(m, obs, 5, "batch").collect()) == 5
+    hv, how = cells.select_hvg(m, obs, "counts", 5, "batch")
+    assert how == "counts" and hv.where("highly_variable").count() == 5
+    hv, how = cells.select_hvg(cells.normalize_log1p(m), obs, "log1p", 5, "batch")
+    assert how == "dispersion" and hv.where("highly_variable").count() == 5
+
+
+def test_cycle_needs_three_genes_of_either_set(spark):
+    m = spark.createDataFrame([(i, j, 1.0 + (i * j) % 3) for i in range(6) for j in range(12)], "cell_id int, gene_id int, value double")
+    obs = m.select("cell_id").distinct()
+    var = spark.createDataFrame([(j, g) for j, g in enumerate(["MCM5", "PCNA", "TYMS", "HMGB2", "CDK1", "x", "y", "z", "u", "v", "w", "t"])], "gene_id int, gene_name string")
+    assert {(r.s_score, r.phase) for r in cells.cell_cycle(m, obs, var).collect()} == {(0.0, "G1")}
+    assert cells.cell_cycle(m, obs, var, sets=(["MCM5", "PCNA", "TYMS"], ["HMGB2", "CDK1", "x"])).where("s_score <> 0").count() > 0
+    assert cells.cycle_genes("mouse")[0][0] == "Mcm5"
+    flat = spark.createDataFrame([(i, 0.1 * i, 0.2, "S" if i < 1 else "G1") for i in range(6)], "cell_id int, s_score double, g2m_score double, phase string")
+    assert cells.regress_cycle(m, flat)[1] and not cells.regress_cycle(m, flat, tissue="tumor")[1] and not cells.regress_cycle(m, flat.withColumn("phase", F.lit("G1")))[1]
+
+
+def test_detect_doublets(spark):
+    c = spark.createDataFrame([(f"c{i}", i) for i in range(5)], "cell_id string, no int")
+    a = spark.createDataFrame([(f"c{i}", v, 0.5) for i, v in enumerate([True, True, False, True, False])], "cell_id string, doublet boolean, score double")
+    b = spark.createDataFrame([(f"c{i}", v, s) for i, (v, s) in enumerate([(True, 0.85), (False, 0.3), (True, 0.5), (True, 0.75), (False, 0.1)])], "cell_id string, doublet boolean, score double")
+    tiers, info = cells.detect_doublets(c, {"scrublet": a, "sim": b})
+    assert [r.tier for r in tiers.orderBy("cell_id").collect()] == ["high_conf", "low_conf", "low_conf", "low_conf", "singlet"]
+    assert one(info) == {"status": "ok", "methods": "scrublet,sim", "n_high_conf": 1, "n_low_conf": 3, "n_singlet": 1, "rate": 0.8, "rate_high_conf": 0.2, "rate_low_conf": 0.6, "agreement": 0.6, "n_discordant": 2}
+    assert one(cells.detect_doublets(c, {"scrublet": a}, ["scrublet", "scdblfinder"])[1])["status"] == "partial"
+    assert one(cells.detect_doublets(c, {})[1])["status"] == "failed" and one(cells.detect_doublets(c.limit(0), {})[1])["rate"] == 0.0
+    rows = [("c0", 0.9, "doublet", 0), ("c1", 0.1, "singlet", 1)]
+    s = spark.createDataFrame(rows, "barcode string, score double, class string, no int")
+    assert cells.scores_by_barcode(c, s) is None and cells.scores_by_barcode(c.limit(2), s).count() == 2
+    assert cells.scores_by_barcode(c.where("no < 2"), s.withColumn("barcode", F.lit("?"))).where("doublet").collect()[0].cell_id == "c0"
+    assert cells.doublet_methods("auto", "brain") == ["scrublet", "scdblfinder"] and cells.doublet_methods(n_samples=1) == ["scrublet"] and cells.doublet_methods("scrublet", "brain", 4) == ["scrublet"]
+
+
+def test_concat_falls_back_to_all_genes(spark):
+    a, b = (spark.createDataFrame([(1, g, 1.0)], "cell_id int, gene_id string, value double") for g in ("g1", "g2"))
+    assert cells.concat_samples({"a": a, "b": b}).count() == 0 and cells.concat_samples({"a": a, "b": b}, "auto").count() == 2
+    assert cells.concat_samples({"a": a.union(b), "b": b}, "auto").count() == 2
+
+
+def test_resolvers_and_order():
+    assert [stats.marker_method(x) for x in ("t_test", "t test", "TTEST", "edger", None, "mast", "auto")] == ["t-test", "t-test", "t-test", "wilcoxon", "wilcoxon", "mast", "wilcoxon"]
+    assert [stats.other_engine(x) for x in (None, "auto", "deseq2", "ttest", "edger")] == ["deseq2", "deseq2", "edger", "edger", "deseq2"]
+    assert stats.confirmatory_engine("wilcoxon") == "auto" and stats.confirmatory_engine("edgeR") == "edger" and stats.cross_validates("off") is False and stats.cross_validates("off", True) and stats.cross_validates(None)
+    assert dag.order(["pseudobulk_deg", "trajectory"], "harmony") == ["qc", "normalize", "hvg", "pca", "harmony", "neighbors", "leiden", "umap", "annotate", "trajectory", "pseudobulk_deg"]
+    assert dag.order(["qc"], "scvi")[-1] == "scvi" and dag.route([])[-1] == "annotate" and "impute_magic" in dag.route(["qc"], imputation="magic")
+
+
+def test_resolution_prior_and_continuity(spark):
+    rows = [(0.2, 0.9, None, 2), (0.4, 0.5, None, 5), (0.6, 0.4, None, 30)]
+    s = spark.createDataFrame(rows, "resolution double, silhouette double, marker double, n_clusters int")
+    best = graph.choose_resolution(s).first()
+    assert best.resolution == 0.2 and abs(best.score - (0.55 + 0.45 * 0.1 * 2 / 3)) < 1e-12
+    flat = graph.choose_resolution(s.withColumn("silhouette", F.lit(0.3))).first()
+    assert flat.resolution == 0.4 and abs(flat.score - 0.45) < 1e-12
+    assert graph.continuity(60, 2, 0.5, 2.5, True) == {"decision": "run", "score": 3, "confidence": "high"}
+    assert graph.continuity(60, 20, 0.1, None) == {"decision": "skip", "score": 0, "confidence": "moderate"} and graph.continuity(60, 20, 0.1, None, forced=True)["confidence"] == "low"
+    assert graph.trajectory_candidate("thymus")["candidate"] and not graph.trajectory_candidate("pbmc")["candidate"] and graph.trajectory_candidate("pbmc", query="RNA velocity")["candidate"]
+
+
+def test_sweep_gives_more_clusters_at_higher_resolution(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(c, 0.3, (12, 2)) for c in ((0, 0), (3, 0), (30, 0), (33, 0))])
+    e = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, vec array<double>")
+    labels, scores = graph.resolution_sweep(graph.knn(e, e, 14), e, [0.02, 1.0], rounds=8)
+    n = {r.resolution: r.n_clusters for r in scores.collect()}
+    assert n[0.02] < n[1.0] and graph.choose_resolution(scores).count() == 1
+    assert labels.groupBy("resolution").count().select("count").distinct().count() == 1
+    b = e.withColumn("label", F.col("id") % 2)
+    per = graph.knn_per_batch(b, 2)
+    assert per.groupBy("query").agg(F.countDistinct("label").alias("n")).where("n = 2").count() == 48
+
+
+def test_distances_of_rows_that_nearly_coincide():
+    x = np.array([[1e4, 0.0], [1e4, 1e-3], [0.0, 0.0]])
+    assert np.allclose(graph._squared(x, x), ((x[:, None] - x[None]) ** 2).sum(-1), rtol=1e-9, atol=0)
+
+
+def test_root_embedding_and_codes(spark):
+    m = spark.createDataFrame([(1, 1, 1.0), (2, 1, 3.0), (3, 2, 9.0)], "cell_id int, gene_id int, value double")
+    obs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "cell_id int, cluster string")
+    var = spark.createDataFrame([(1, "Kit"), (2, "x")], "gene_id int, gene_name string")
+    assert graph.root_cell(m, var, obs).first().cell_id == 2 and graph.root_cell(m, var.where("gene_id = 2"), obs).first().cell_id == 3
+    there = spark.createDataFrame([(1, "X_pca"), (1, "X_scVI"), (2, "X_scVI")], "id int, rep string")
+    assert {r.rep for r in graph.pick_embedding(there).collect()} == {"X_scVI"} and graph.pick_embedding(there, "X_pca").count() == 1
+    assert [r.code for r in stats.factorize(obs, "cluster").orderBy("cell_id").collect()] == [0, 0, 1]
+    assert [r.gene_id for r in stats.top_variance(m, 3, 1).collect()] == [2]
+    ranked = spark.createDataFrame([(c, f"{c}{r}", r) for c in "ab" for r in range(1, 21)], "cluster string, gene_id string, rank int")
+    assert stats.genes_of_groups(ranked, n=10).count() == 10 and stats.genes_of_groups(ranked, n=24).count() == 24
+
+
+def test_diffusion_keeps_constants(spark):
+    from tessera.operators import embedding
+
+    e = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(8)], "id bigint, vec array<double>")
+    m = spark.createDataFrame([(i, 1, 2.0) for i in range(8)] + [(0, 2, 8.0)], "cell_id bigint, gene_id int, value double")
+    out = embedding.impute_diffusion(m, graph.knn(e, e, 3), 2).collect()
+    assert all(abs(r.value - 2) < 1e-9 for r in out if r.gene_id == 1) and len([r for r in out if r.gene_id == 2]) > 1
