@@ -79,7 +79,7 @@ def quantiles(df: DataFrame, keys: list[str], asked: dict[str, tuple[str, float]
     names = [f"__k{i}" for i in range(len(keys) or 1)]  # names of our own, whatever the keys are called
     group = [F.col(k).alias(n) for k, n in zip(keys, names)] or [F.lit(1).alias(names[0])]
     rows = df.select(*group, *(F.col(c).cast("double").alias(f"__v_{a}") for a, (c, _) in asked.items()))
-    side = lambda a, p: F.percentile_approx(f"__v_{a}", [max(0.0, p - near), min(1.0, p + near)], 20_000)
+    side = lambda a, p: F.percentile_approx(f"__v_{a}", [max(0.0, p - near), min(1.0, p + near)], 2_000)  # off by 1 / 2,000 at most
     marks = rows.groupBy(*(F.col(k).alias(f"{k}m") for k in names)).agg(*(F.struct(side(a, p).alias("b"), F.count(f"__v_{a}").alias("n")).alias(f"__m_{a}") for a, (_, p) in asked.items()))
     same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"{k}m")) for k in names))
     met = rows.join(F.broadcast(marks) if not keys else marks, same).select(*names, *(c for a in asked for c in (f"__v_{a}", f"__m_{a}")))
@@ -530,3 +530,19 @@ def detect_doublets(cells: DataFrame, calls: dict[str, DataFrame], wanted: list[
         F.round(agree, 4).alias("agreement"), differ.alias("n_discordant"),
     )
     return x.select("cell_id", "tier", (F.col("tier") != "singlet").alias("predicted"), "doublet_score", "discordant"), info
+
+
+def second_method(columns: list[str]) -> str | None:
+    """The second method of doublets that is there: the outside one before the simulation."""
+    return next((c for c in ("scdblfinder", "sim") if c in columns), None)
+
+
+def counts_layer(layers: dict[str, DataFrame], values: DataFrame) -> DataFrame:
+    """The counts: a layer of that name, else the raw matrix, else the values if one exceeds 50; without
+    any it is refused."""
+    for name in ("counts", "raw"):
+        if name in layers:
+            return layers[name]
+    if (values.agg(F.max("value")).first()[0] or 0) > 50:
+        return values
+    raise ValueError("no counts: neither a layer, nor a raw matrix, nor values above 50")

@@ -50,3 +50,30 @@ def fresh(sources: DataFrame, index: DataFrame, by: str = "collection", changed:
 
 def cache_key(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("||", *parts), 256), 1, 24)
+
+
+def files_fingerprint(files: DataFrame, name: str = "name", text: str = "text") -> DataFrame:
+    """One row: a digest of files' names and contents, whatever order they come in."""
+    one = F.sha2(F.concat_ws("\x00", F.col(name), F.coalesce(text, F.lit(""))), 256)
+    return files.agg(F.sha2(F.concat_ws("|", F.sort_array(F.collect_list(one))), 256).alias("digest"), F.count("*").alias("n_files"))
+
+
+def environment(packages: dict[str, str]) -> dict[str, str]:
+    """A digest of the packages' versions, and Python's version."""
+    import hashlib
+    import json
+    import sys
+
+    return {"hash": hashlib.sha256(json.dumps(packages, sort_keys=True).encode()).hexdigest(), "python": sys.version.split()[0]}
+
+
+def described(matrix: DataFrame, obs: DataFrame, var: DataFrame, step: str) -> DataFrame:
+    """One row about a step's data: shape and the sorted names of its columns."""
+    names = lambda df: F.array(*map(F.lit, sorted(df.columns)))
+    return obs.agg(F.lit(step).alias("step"), F.count("*").alias("n_obs"), names(obs).alias("obs_columns"), names(var).alias("var_columns")).crossJoin(var.agg(F.count("*").alias("n_vars"))).crossJoin(matrix.agg(F.count("*").alias("n_entries")))
+
+
+def semver(c: Column) -> Column:
+    """(major, minor, patch) of the first version number in a text; null without one."""
+    part = lambda i: F.regexp_extract(c, r"(\d+)\.(\d+)(?:\.(\d+))?", i).try_cast("int")
+    return F.when(c.rlike(r"\d+\.\d+"), F.struct(part(1).alias("major"), part(2).alias("minor"), F.coalesce(part(3), F.lit(0)).alias("patch")))

@@ -58,3 +58,42 @@ def nearest_rank(df: DataFrame, by: str, value: str, qs: list[float]) -> DataFra
     upto = c.withColumn("to", F.sum("c").over(Window.partitionBy(by).orderBy("v"))).join(c.groupBy(by).agg(F.sum("c").alias("n")), by)
     at = lambda q: F.bround(F.lit(q) * (F.col("n") - 1)) + 1
     return upto.groupBy(by).agg(*(F.min(F.when(F.col("to") >= at(q), F.col("v"))).alias(f"p{round(q * 100)}") for q in qs))
+
+
+# How many cells a viewer shows, and what it may colour them by.
+SHOWN = 15_000
+COLOURS = ("leiden", "cluster", "cell_type", "cell_type_l1", "annotation_status", "sample", "predicted_doublet", "doublet_call")
+
+
+def subsample(df: DataFrame, most: int = SHOWN, id: str = "cell_id", seed: int = 0) -> DataFrame:
+    """At most ``most`` rows, the same on every run: the first by a hash of the id. For drawing only."""
+    return df.orderBy(F.xxhash64(id, F.lit(seed)), id).limit(most)
+
+
+def viewer_points(obs: DataFrame, points: DataFrame, most: int = SHOWN, qc: tuple[str, ...] = ("n_genes_by_counts", "total_counts", "pct_counts_mt")) -> DataFrame:
+    """(cell_id, x, y, …) of the cells a viewer shows: places, the columns to colour by as text, QC values
+    with no number as null. ``points(cell_id, vec)``; cells without one stand at the origin."""
+    shown = subsample(obs, most).join(points.select("cell_id", "vec"), "cell_id", "left")
+    xy = [F.coalesce(F.get("vec", i).cast("double"), F.lit(0.0)).alias(n) for i, n in enumerate("xy")]
+    return shown.select("cell_id", *xy, *(F.col(c).cast("string").alias(c) for c in COLOURS if c in obs.columns), *(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in qc if c in obs.columns))
+
+
+def dotted(config: dict, path: str, default: object = None) -> object:
+    """A nested value by its dotted path."""
+    now: object = config
+    for part in path.split("."):
+        if not isinstance(now, dict) or part not in now:
+            return default
+        now = now[part]
+    return now
+
+
+def overlaid(base: dict, over: dict) -> dict:
+    """``base`` with the values of ``over``, dictionaries laid over each other to any depth."""
+    return base | {k: overlaid(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in over.items()}
+
+
+def metric_lines(logs: DataFrame, text: str = "text") -> DataFrame:
+    """(…, name, value) of every ``name=value`` in a log's lines, as text."""
+    pairs = F.regexp_extract_all(text, F.lit(r"(?m)(?:^|\s)([A-Za-z_]\w*=[^\s=]+)(?=\s|$)"), F.lit(1))
+    return logs.select(*[c for c in logs.columns if c != text], F.explode(pairs).alias("p")).select(*[c for c in logs.columns if c != text], F.substring_index("p", "=", 1).alias("name"), F.substring_index("p", "=", -1).alias("value"))

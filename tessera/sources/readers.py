@@ -7,6 +7,7 @@ that isn't there (HDF5 containers, R objects, PDF) are refused by name.
 from __future__ import annotations
 
 import glob
+import math
 import os
 import re
 from pathlib import Path
@@ -205,3 +206,57 @@ def reserved_renamed(df: DataFrame) -> DataFrame:
 
 def text_column(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def read_selection(spark: SparkSession, path: str) -> DataFrame:
+    """(cell_id, query) of a selection file: ids under ``cell_ids``, ``barcodes`` or ``ids``, the first
+    that has any."""
+    raw = spark.read.text(path, wholetext=True)
+    listed = lambda k: F.from_json(F.get_json_object("value", f"$.{k}"), "array<string>")
+    some = lambda k: F.when(F.size(listed(k)) > 0, listed(k))
+    ids = F.coalesce(some("cell_ids"), some("barcodes"), some("ids"))
+    return raw.select(F.explode(ids).alias("cell_id"), F.coalesce(F.get_json_object("value", "$.query"), F.lit("")).alias("query"))
+
+
+def read_states(spark: SparkSession, path: str) -> DataFrame:
+    """(state_no, name, aliases, markers, pathways, citations) of a catalog of cell states."""
+    state = "name: string, aliases: array<string>, markers: array<string>, pathways: array<struct<id: string, name: string>>, citations: array<struct<pmid: string, doi: string, title: string, year: int, journal: string>>"
+    raw = spark.read.schema(f"states array<struct<{state}>>").option("multiLine", True).json(path)
+    return raw.select(F.posexplode("states").alias("state_no", "s")).select("state_no", "s.*")
+
+
+def gene_sets(spark: SparkSession, path: str) -> DataFrame:
+    """(term, gene) of a file of gene sets, genes in upper case; sets without a name or genes give none."""
+    raw = spark.read.schema("sets array<struct<id: string, name: string, genes: array<string>>>").option("multiLine", True).json(path)
+    s = raw.select(F.explode("sets").alias("s")).select(F.coalesce("s.id", "s.name").alias("term"), F.explode("s.genes").alias("gene"))
+    return s.where("term <> '' and gene <> ''").select("term", F.upper("gene").alias("gene")).distinct()
+
+
+def format_record(record: Column, source: Column) -> Column:
+    """A record (JSON) as text: its name and id, its source, its lists and its plain fields, one a line."""
+    get = lambda k: F.get_json_object(record, f"$.{k}")
+    name = F.coalesce(get("name"), get("id"), get("term"), F.lit("record"))
+    rid = F.coalesce(get("id"), get("cl_id"))
+    line = lambda k, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"{k}: "), v))
+    many = lambda k: F.coalesce(F.array_join(F.from_json(get(k), "array<string>"), ", "), get(k))
+    ids = lambda k, by: F.array_join(F.filter(F.transform(F.from_json(get(k), "array<map<string,string>>"), lambda x: F.coalesce(*(x[b] for b in by))), lambda x: x.isNotNull()), "; " if k == "citations" else ", ")
+    return F.concat_ws(
+        "\n", F.concat(F.lit("# "), name, F.coalesce(F.concat(F.lit(" ("), rid, F.lit(")")), F.lit(""))), line("source", source),
+        *(line(k, many(k)) for k in ("synonyms", "aliases", "tissues", "expected_types", "lineage", "markers", "positive", "negative", "genes")),
+        *(line(k, get(k)) for k in ("parent", "atlas", "qc_note", "collection", "tissue")), line("pathways", ids("pathways", ("id", "name"))), line("citations", ids("citations", ("pmid", "doi", "title"))),
+    )
+
+
+def demo_matrix(spark: SparkSession, n_cells: int = 100, n_genes: int = 60, rate: float = 1.5, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(matrix, cells, genes) of Poisson counts, the same on every run, for trying things out."""
+    genes = spark.range(n_genes).select(F.col("id").alias("gene_id"), F.coalesce(F.get(F.array(*map(F.lit, ("MT-ND1", "MT-CO1", "CD3D", "MS4A1"))), F.col("id").cast("int")), F.concat(F.lit("Gene"), F.col("id").cast("string"))).alias("gene_name"))
+    cells = spark.range(n_cells).select(F.concat(F.lit("cell_"), F.col("id").cast("string")).alias("cell_id"), F.when(F.col("id") < n_cells // 2, "s1").otherwise("s2").alias("sample"))
+    # Inversion: the count is the number of cumulative probabilities that a uniform number exceeds.
+    terms, p, total = [], math.exp(-rate), 0.0
+    for k in range(int(rate * 10) + 20):
+        total += p
+        terms.append(total)
+        p *= rate / (k + 1)
+    u = (F.pmod(F.xxhash64("cell_id", "gene_id", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)).alias("u")
+    grid = cells.select("cell_id").crossJoin(F.broadcast(genes.select("gene_id"))).select("cell_id", "gene_id", u)  # the fixture's own size
+    return grid.select("cell_id", "gene_id", F.size(F.filter(F.array(*map(F.lit, terms)), lambda t: t < F.col("u"))).cast("double").alias("value")).where("value > 0"), cells, genes
