@@ -9,11 +9,14 @@ levels), so a pre-token of 30,000 letters costs as much a byte as one of ten.
 from __future__ import annotations
 
 import base64
+import os
 import re
 from array import array
 from heapq import heappop, heappush
 
 import regex
+from pyspark import SparkFiles
+from pyspark.sql import SparkSession
 
 VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-token pattern of this tokenizer.
@@ -160,7 +163,14 @@ _made: dict[str, ByteBPE] = {}
 
 
 def encoder(path: str = VOCAB) -> ByteBPE:
-    """This worker's encoder of a vocabulary, made once."""
+    """This worker's encoder of a vocabulary, made once; of the file that :func:`ship` sent along where
+    the path isn't there."""
     if path not in _made:
-        _made[path] = ByteBPE(path)
+        _made[path] = ByteBPE(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
     return _made[path]
+
+
+def ship(spark: SparkSession, path: str) -> None:
+    """Send the vocabulary file to the executors, so that only the driver needs it."""
+    if os.path.exists(path):
+        spark.sparkContext.addFile(path)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import VOCAB, encoder
+from tessera.llm.bpe import VOCAB, encoder, ship
 
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocab: str = VOCAB) -> DataFrame:
@@ -30,6 +30,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocab: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=[key, "ids"])
 
     kind = dict(df.dtypes)[key]
+    ship(df.sparkSession, vocab)
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
@@ -41,6 +42,7 @@ def decode(df: DataFrame, ids: str = "ids", vocab: str = VOCAB) -> DataFrame:
         tokens = encoder(vocab).tokens
         return s.map(lambda x: b"".join(tokens[i] for i in x).decode("utf-8", "surrogatepass"))
 
+    ship(df.sparkSession, vocab)
     return df.withColumn("text", back(ids))
 
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import VOCAB
+from tessera.llm.bpe import VOCAB, ship
 from tessera.llm.encode import count_tokens
 from tessera.session import materialize
 
@@ -104,6 +104,7 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int =
         out += [r for x in open_.items.values() for r in x]
         return pd.DataFrame(out, columns=[key, *_COLS])
 
+    ship(df.sparkSession, vocab)
     placed = materialize(df.select(key, text).mapInArrow(place, f"`{key}` {kind}, {_KINDS}, open_in int"), "pack")
     left = placed.where("open_in is not null").groupBy(F.floor(F.col("open_in") / group)).applyInPandas(merge, f"`{key}` {kind}, {_KINDS}")
     return placed.where("open_in is null").select(key, *_COLS).unionByName(left)
