@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 KINDS = ("paragraph", "sentence", "line", "word", "character", "amid", "end")
 _COST = (0.0, 0.15, 8.0, 400.0, 2e4, 1e6, 0.0)
-DENSE = 4096
+_PAY = [c + 0.05 for c in _COST]
+DENSE = 512
 _natural = re.compile(r"\n[ \t\r]*\n\s*|[.!?。！？][\"')\]”’»]*(?:\s+|(?<=[。！？]))").finditer
 _line = re.compile(r"\n").finditer
 _blank = re.compile(r"\s+").finditer
@@ -48,9 +49,10 @@ def boundaries(text: str, reach: int, start: int = 0) -> tuple[list[int], list[i
     at = {m.end(): (0 if m[0].count("\n") > 1 else 1) for m in _natural(text) if start < m.end() < n}
     for kind in range(2, 6):
         known = [start, *sorted(at), n]
-        for a, b in zip(known, known[1:]):
-            if b - a <= reach:
-                continue
+        wide = [(a, b) for a, b in zip(known, known[1:]) if b - a > reach]
+        if not wide:
+            break
+        for a, b in wide:
             if kind < 4:
                 found = (m.end() for m in (_line, _blank)[kind - 2](text, a, b))
             else:
@@ -77,17 +79,19 @@ def cuts(text: str, limit: int = 2000, overlap: int = 150) -> list[tuple[int, in
     goal = (n - overlap) / pieces
     pos, kinds = boundaries(text, reach, overlap)
     p = np.array([overlap, *pos], np.float64)  # a first, virtual cut: the first piece begins at 0
-    pay = np.array([0.0, *(_COST[k] for k in kinds)]) + 0.05
-    best, back = np.zeros(len(p)), np.zeros(len(p), np.int64)
-    lows = np.searchsorted(p, p - reach, "left").tolist()
-    for j in range(1, len(p)):
+    part = p / goal  # positions in pieces of the balanced length
+    best, back = np.zeros(len(p)), [0] * len(p)
+    lows, ends = np.searchsorted(p, p - reach, "left").tolist(), (part - 1.0).tolist()
+    for j, kind in enumerate(kinds, 1):
         lo = lows[j]
-        cost = best[lo:j] + np.square((p[j] - p[lo:j]) / goal - 1.0)
+        cost = ends[j] - part[lo:j]
+        cost *= cost
+        cost += best[lo:j]
         k = int(cost.argmin())
-        best[j], back[j] = cost[k] + pay[j], lo + k
+        best[j], back[j] = cost[k] + _PAY[kind], lo + k
     out, j = [], len(p) - 1
     while j:
-        i = int(back[j])
+        i = back[j]
         out.append((int(p[i]) - overlap, int(p[j]), KINDS[kinds[j - 1]]))
         j = i
     return out[::-1]
