@@ -21,7 +21,6 @@ stay as they are.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -76,7 +75,7 @@ def rules(keep: str = "") -> list[tuple[str, str]]:
 
 def _composed() -> list[str]:
     """Every character that stands for a sequence of a letter and marks or of jamo."""
-    return [c for c in map(chr, range(0xC0, 0x30000)) if not 0xD800 <= ord(c) < 0xE000 and unicodedata.normalize("NFD", c) != c and unicodedata.normalize("NFC", c) == c]
+    return [c for c in map(chr, [*range(0xC0, 0xD800), *range(0xF900, 0x12000)]) if unicodedata.decomposition(c)[:1] not in ("<",) and unicodedata.normalize("NFD", c) != c and unicodedata.normalize("NFC", c) == c]
 
 
 class Transducer:
@@ -141,7 +140,10 @@ class Transducer:
         out: list[str] = []
         last, runs = 0, self.runs
         for m in _other(text):
-            run = m[0]
+            a, run = m.start(), m[0]
+            if run[0] in _after and a > last:  # it belongs to the letter before
+                a -= 1
+                run = text[a] + run
             done = runs.get(run)
             if done is None:
                 done = self._run(run)
@@ -149,27 +151,16 @@ class Transducer:
                     if len(runs) > 200_000:
                         runs.clear()
                     runs[run] = done
-            out.append(text[last : m.start()])
+            out.append(text[last:a])
             out.append(done)
             last = m.end()
         out.append(text[last:])
         return "".join(out)
 
 
-def _class(codes: Iterable[int]) -> str:
-    """A character class of many characters, by ranges."""
-    parts: list[list[int]] = []
-    for c in codes:
-        if parts and parts[-1][1] == c - 1:
-            parts[-1][1] = c
-        else:
-            parts.append([c, c])
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in parts)
-
-
-# A run takes in the ASCII letter before it if it begins with a mark or with something invisible.
-_after = _class(c for c in range(0x80, sys.maxunicode + 1) if (ch := chr(c)) in INVISIBLE or 0xFE00 <= c < 0xFE10 or unicodedata.category(ch) in ("Mn", "Me", "Mc"))
-_other = re.compile(f"[\x00-\x7f]?(?=[{_after}])[\t\x80-\U0010ffff]+|[\t\x80-\U0010ffff]+").finditer
+# What belongs to the character before it: marks and what is invisible.
+_after = frozenset(c for c in map(chr, [*range(0x80, 0x20000), *range(0xE0100, 0xE01F0)]) if c in INVISIBLE or 0xFE00 <= ord(c) < 0xFE10 or unicodedata.category(c) in ("Mn", "Me", "Mc"))
+_other = re.compile("[\t\x80-\U0010ffff]+").finditer
 _made: dict[str, Transducer] = {}
 
 
