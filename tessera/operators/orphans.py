@@ -87,16 +87,23 @@ class Advance:
         old = self.last
         return State(old.versions.unionByName(self.parents), old.refs.unionByName(self.refs), old.counts.unionByName(self.counts()))
 
+    @property
+    def changes(self) -> DataFrame:
+        """(ref_table, key, ts, row_id, reason, n): what the batch adds to the orphans (n > 0) and what it
+        takes back (n < 0), repeated rows counted each. The reason of one may change without a row."""
+        by, plus = ["ref_table", "key", "ts", "row_id"], _orphans(self.after).withColumn("n", F.lit(1).cast("bigint"))
+        both = plus if self.before is None else plus.unionByName(_orphans(self.before).withColumns({"reason": F.lit(None).cast("string"), "n": F.lit(-1).cast("bigint")}))
+        return both.groupBy(by).agg(F.max("reason").alias("reason"), F.sum("n").alias("n")).where("n <> 0").select(*by, "reason", "n")
+
     @property
     def orphans(self) -> DataFrame:
         """References whose parent wasn't there at their own time and that weren't reported before."""
-        return _orphans(self.after) if self.before is None else _minus(_orphans(self.after), _orphans(self.before))
+        return _orphans(self.after) if self.before is None else reported(self.changes)
 
     @property
     def retracted(self) -> DataFrame:
         """References reported by an earlier batch whose parent turns out to have been there."""
-        rows = _orphans(self.after)
-        return rows.limit(0) if self.before is None else _minus(_orphans(self.before), rows)
+        return reported(self.changes, -1)
 
     def counts(self, period: str = "yyyy-MM") -> DataFrame:
         """(ref_table, period, …): by how much the batch changes each period's counts. Summed over all
@@ -132,12 +139,10 @@ def _orphans(events: DataFrame) -> DataFrame:
     return events.where("kind = 1 and not coalesce(alive_now, false)").select("ref_table", "key", "ts", "row_id", why.alias("reason"))
 
 
-def _minus(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of ``a`` beyond those of ``b``, repeated rows counted each; the reason may differ."""
-    by = ["ref_table", "key", "ts", "row_id"]
-    more = a.select(*by, "reason", F.lit(1).alias("n")).unionByName(b.select(*by, F.lit(None).cast("string").alias("reason"), F.lit(-1).alias("n")))
-    left = more.groupBy(by).agg(F.max("reason").alias("reason"), F.sum("n").alias("n")).where("n > 0")
-    return left.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
+def reported(changes: DataFrame, sign: int = 1) -> DataFrame:
+    """The rows of :attr:`Advance.changes` that are added, or with a sign of -1 taken back, one each."""
+    rows = changes.where(F.col("n") * sign > 0)
+    return rows.withColumn("n", F.explode(F.sequence(F.lit(1), F.abs("n").cast("int")))).drop("n")
 
 
 def _counts(events: DataFrame, period: str) -> DataFrame:

@@ -10,7 +10,7 @@ SNAPSHOTS = "thread string, step int, phase string, matrix_path string, obs_path
 
 def fingerprint(matrix: DataFrame) -> DataFrame:
     """One row: shape and an order-free digest of the whole matrix (combined map-side)."""
-    return matrix.agg(F.countDistinct("cell_id").alias("n_cells"), F.countDistinct("gene_id").alias("n_genes"), F.count("*").alias("n_entries"), F.bit_xor(F.xxhash64("cell_id", "gene_id", "value")).alias("digest"))
+    return matrix.agg(F.countDistinct("cell_id").alias("n_cells"), F.countDistinct("gene_id").alias("n_genes"), F.count("*").alias("n_entries"), F.bit_xor(F.conv(F.substring(F.md5(F.concat_ws("|", "cell_id", "gene_id", "value")), 1, 15), 16, 10).cast("bigint")).alias("digest"))
 
 
 def record(snapshots: DataFrame, thread: str, step: int, phase: str, matrix_path: str, obs_path: str, digest: str) -> DataFrame:

@@ -376,3 +376,4 @@ def _audit_sql(phase: str) -> str:
 
 SQL |= {"policy_violations": _CALLS, "audit_code_qc": _audit_sql("qc"), "audit_code_downstream": _audit_sql("downstream")}
 QUERIES |= {f.__name__: f for f in (policy_violations, audit_code_qc, audit_code_downstream)}
+SQL["matrix_fingerprint"] = f"{_OBS} select count(distinct cell_id) as n_cells, count(distinct gene_id) as n_genes, count(*) as n_entries, bit_xor(('0x' || substr(md5(cell_id || '|' || gene_id || '|' || value::double), 1, 15))::bigint) as digest from m"

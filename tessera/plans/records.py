@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.ids import term_number
 from tessera.operators.hierarchy import current_terms, descendants, hierarchy
-from tessera.operators.orphans import Advance, advance, empty_state, find_orphans, parent_versions, references
+from tessera.operators.orphans import Advance, State, advance, empty_state, find_orphans, parent_versions, references
 from tessera.session import materialize, table
 
 
@@ -36,17 +36,15 @@ def p1_incremental(spark: SparkSession, d: str) -> DataFrame:
     """The cases of ``p1_found`` from three deliveries that cut the rows across all times, so each
     brings late parents, late deletions and late references to the ones before."""
     cl, marks = table(spark, d, "cl_subset"), table(spark, d, "marker_catalog")
-    state, signed = empty_state(spark), None
+    state, every = empty_state(spark), None
     for no in range(3):
         now = lambda df: df.where(F.pmod("row_id", F.lit(3)) == no)  # noqa: B023, E731
         parents, refs = _rows(now(cl), now(marks))
         done = advance(state, parents, refs["cl_subset"].unionByName(refs["marker_catalog"]), list(refs))
-        cols = ["ref_table", "key", "ts", "row_id"]
-        for rows, n in ((done.orphans, 1), (done.retracted, -1)):
-            rows = materialize(rows.select(*cols, F.lit(n).alias("n")), "orphans")
-            signed = rows if signed is None else signed.unionByName(rows)
-        state = done.state.saved()
-    left = signed.groupBy("ref_table", "key", "ts", "row_id").agg(F.sum("n").alias("n")).where("n > 0")
+        rows = materialize(done.changes, "changes")
+        every = rows if every is None else every.unionByName(rows)
+        state = State(done.state.versions, done.state.refs, state.counts)  # parts of the tables; counts aren't asked for
+    left = every.groupBy("ref_table", "key", "ts", "row_id").agg(F.sum("n").alias("n")).where("n > 0")
     return left.select("ref_table", F.date_format("ts", "yyyy-MM").alias("period"), "row_id")
 
 

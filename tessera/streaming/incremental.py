@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.operators.orphans import COUNTED, REFERENCES, VERSIONS, State, advance, empty_state
+from tessera.operators.orphans import COUNTED, REFERENCES, VERSIONS, State, advance, empty_state, reported
 from tessera.operators.retrieval import chunk_fixed
+from tessera.session import discard, materialize
 
 
 def index_stream(docs: DataFrame, path: str, checkpoint: str, size: int = 900, over: int = 120, id: str = "doc_id", text: str = "text", collection: str = "collection") -> StreamingQuery:
@@ -35,9 +36,11 @@ def orphan_stream(events: DataFrame, folder: str, checkpoint: str, ref_tables: l
         parents = rows.where("kind = 'parent'").groupBy("key", "ts").agg(F.max("row_id").alias("seq"), F.max_by(~F.coalesce("deleted", F.lit(False)), "row_id").alias("alive"))
         refs = rows.where("kind = 'reference'").select("ref_table", "key", "ts", "row_id")
         done = advance(state, parents, refs, ref_tables)
-        out = {"versions": parents, "refs": refs, "orphans": done.orphans, "retracted": done.retracted, "counts": done.counts(), "snapshots": done.snapshots()}
+        changes = materialize(done.changes, "changes")
+        out = {"versions": parents, "refs": refs, "orphans": reported(changes), "retracted": reported(changes, -1), "counts": done.counts(), "snapshots": done.snapshots()}
         for name, df in out.items():
             df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={no}")
         rows.unpersist()
+        discard(changes)
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
